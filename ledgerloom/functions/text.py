@@ -70,7 +70,7 @@ def first_match(text: Column, patterns: Sequence[str]) -> Column:
 
 def all_matches(text: Column, patterns: Sequence[str]) -> Column:
     """Group 1 of all hits, pattern by pattern, trimmed, first occurrences kept."""
-    hits = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), F.trim) for p in patterns]
+    hits = [F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(1)), lambda hit: F.trim(hit)) for p in patterns]
     return F.array_distinct(F.concat(*hits))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.session import salted_left_join
+from ledgerloom.session import salted_join
 
 
 def _key(columns: list[str]) -> Column:
@@ -32,7 +32,7 @@ def flag_duplicates(invoices: DataFrame, key: list[str] | None = None) -> DataFr
         .groupBy("_key").agg(F.min("id").alias("_first"), F.max("id").alias("_second"))
         .where(F.col("_first") < F.col("_second"))
     )
-    joined = salted_left_join(keyed, lowest, "_key", F.col("id"))
+    joined = salted_join(keyed, lowest, ["_key"], F.col("id"))
     other = F.when(F.col("id") == F.col("_first"), F.col("_second")).otherwise(F.col("_first"))
     return joined.withColumns({"is_duplicate": F.col("_first").isNotNull(), "duplicate_of": other}).drop(
         "_key", "_first", "_second"
@@ -47,4 +47,4 @@ def duplicates_vs_history(batch: DataFrame, history: DataFrame, key: list[str] |
         .groupBy("_key").agg(F.min("id").alias("duplicate_of"))
     )
     keyed = batch.withColumn("_key", _key(columns))
-    return salted_left_join(keyed, known, "_key", F.col("id")).where("duplicate_of IS NOT NULL").drop("_key")
+    return salted_join(keyed, known, ["_key"], F.col("id"), "inner").drop("_key")

@@ -104,13 +104,16 @@ def _entity(position: int, label: str) -> Column:
     return F.coalesce(F.get(ordered, position)["text"], F.lit(""))
 
 
-def extract_fields(docs: DataFrame, text: str = "text", language: Column | None = None) -> DataFrame:
-    """Adds the sixteen fields, the confidence map and its mean to a text table.
+def extract_columns(docs: DataFrame, text: str = "text", language: Column | None = None) -> DataFrame:
+    """Adds the sixteen fields and a score_<field> column per scored field.
+
+    A caller that selects some of the columns pays for their patterns only.
 
     An optional column entities array<struct<text,label,pos>> (see with_entities)
     supplies date, vendor and buyer where no pattern hits, with MEDIUM confidence.
     """
     keep = [c for c in docs.columns if c != "entities"]
+    kept = [*keep, *fixed.FIELD_COLUMNS, *[f"score_{k}" for k in fixed.CONFIDENCE_KEYS]]
     has_entities = "entities" in docs.columns
     docs = capture(prepare_text(docs, text), _GROUPS)
 
@@ -152,7 +155,7 @@ def extract_fields(docs: DataFrame, text: str = "text", language: Column | None
     grade = lambda hit, score, backup=F.lit(False): (
         F.when(hit, score).when(backup, medium).otherwise(low)
     )
-    scores = score_map({
+    scores = {
         "invoice_number": grade(found("number"), high, found("number_bare")),
         "invoice_date": grade(found("date"), high, F.col("_e_date") != ""),
         "due_date": grade(found("due"), medium),
@@ -166,10 +169,18 @@ def extract_fields(docs: DataFrame, text: str = "text", language: Column | None
         "po_number": grade(found("po"), high),
         "address": grade(found("address"), medium),
         "payment_terms": grade(found("terms"), medium),
-    })
-    docs = docs.withColumn("confidence_scores", scores)
-    docs = docs.withColumn("avg_field_confidence", average_confidence(F.col("confidence_scores")))
-    return docs.select(*keep, *fixed.FIELD_COLUMNS, "confidence_scores", "avg_field_confidence")
+    }
+    docs = docs.withColumns({f"score_{key}": score for key, score in scores.items()})
+    return docs.select(*kept)
+
+
+def extract_fields(docs: DataFrame, text: str = "text", language: Column | None = None) -> DataFrame:
+    """Adds the sixteen fields, the confidence map and its mean to a text table."""
+    scored = extract_columns(docs, text, language)
+    names = [f"score_{key}" for key in fixed.CONFIDENCE_KEYS]
+    scores = score_map({key: F.col(f"score_{key}") for key in fixed.CONFIDENCE_KEYS})
+    scored = scored.withColumn("confidence_scores", scores).drop(*names)
+    return scored.withColumn("avg_field_confidence", average_confidence(F.col("confidence_scores")))
 
 
 def with_entities(docs: DataFrame, find: Callable[[pd.Series], pd.Series], text: str = "text") -> DataFrame:

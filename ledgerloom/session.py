@@ -43,19 +43,30 @@ def work_dir(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, name: str, cluster_by: list[str] | None = None) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back.
+def stage_path(
+    df: DataFrame, name: str, cluster_by: list[str] | None = None, spread: str | None = None
+) -> str:
+    """Write df as a Parquet table in the shared folder; returns its path.
+
+    cluster_by sorts the files for row-group pruning; spread is a column that
+    shares a hot cluster value between tasks.
+    """
+    path = work_dir(df.sparkSession, name)
+    if cluster_by:
+        salt = [F.pmod(F.xxhash64(spread), F.lit(16))] if spread else []
+        df = df.repartition(*cluster_by, *salt).sortWithinPartitions(*cluster_by)
+    df.write.parquet(path)
+    return path
+
+
+def stage(df: DataFrame, name: str, **layout) -> DataFrame:
+    """df written by stage_path and read back.
 
     Used where one result feeds several branches of a plan: the branches read
     the written table instead of computing the input again, and a lost executor
     costs only a re-read.
     """
-    spark = df.sparkSession
-    path = work_dir(spark, name)
-    if cluster_by:
-        df = df.repartition(*cluster_by).sortWithinPartitions(*cluster_by)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(stage_path(df, name, **layout))
 
 
 def inline_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
@@ -63,19 +74,20 @@ def inline_table(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFra
     return spark.createDataFrame(rows, schema)
 
 
-def salted_left_join(
-    left: DataFrame, right: DataFrame, key: str, spread: Column, salts: int = 16
+def salted_join(
+    left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "left", salts: int = 16
 ) -> DataFrame:
-    """Left join on a key that may hold a large share of the left rows.
+    """Equi-join on keys of which one may hold a large share of the left rows.
 
-    right must have one row per key. Each right row is repeated once per salt,
-    each left row takes the salt of its `spread` value, so a hot key is shared
-    by `salts` tasks. Empty and NULL keys never match and are spread as well.
+    Each right row is repeated once per salt, each left row takes the salt of its
+    `spread` value, so a hot key is shared by `salts` tasks. Left rows whose first
+    key is NULL or empty match nothing and are spread without bound.
     """
-    salt = F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")
-    hot = F.col(key).isNull() | (F.col(key) == "")
-    left = left.withColumn("_salt", F.when(hot, F.xxhash64(spread)).otherwise(salt.cast("bigint")))
-    right = right.withColumn(
+    salt = F.pmod(F.xxhash64(spread), F.lit(salts))
+    first = F.col(keys[0]).cast("string")
+    unmatched = F.coalesce(first == "", F.lit(True))
+    left = left.withColumn("_salt", F.when(unmatched, F.xxhash64(spread)).otherwise(salt))
+    right = right.where(F.col(keys[0]).cast("string") != "").withColumn(
         "_salt", F.explode(F.array(*[F.lit(s).cast("bigint") for s in range(salts)]))
     )
-    return left.join(right, [key, "_salt"], "left").drop("_salt")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

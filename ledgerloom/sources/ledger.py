@@ -13,16 +13,22 @@ from ledgerloom.sources.invoices import invoice_facts, invoice_text
 
 
 def known_fields(spark: SparkSession, folder: str) -> DataFrame:
-    """id, filename, received_at and the sixteen fields, straight from the facts."""
+    """id, filename, received_at and the sixteen fields, straight from the facts.
+
+    Three more planted faults live here only, for the documented strict rules.
+    """
     facts = invoice_facts(spark, folder)
     money = lambda c: (F.col(c) / 100)
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
+    every = lambda prime: F.col("key") % prime == 0
     return facts.select(
         (F.col("key") + 1).alias("id"), "key", "filename", "received_at", "invoice_number",
         day("invoice_day").alias("invoice_date"), day("due_day").alias("due_date"), "vendor_name", "buyer_name",
         money("total_c").alias("total_amount"), money("subtotal_c").alias("subtotal"),
-        money("tax_c").alias("tax_amount"), "tax_rate", money("discount_c").alias("discount"), "currency",
-        F.regexp_extract("tax_id_line", ": (.*)", 1).alias("tax_id"), "po_number",
+        money("tax_c").alias("tax_amount"), "tax_rate",
+        F.when(every(67), -money("discount_c")).otherwise(money("discount_c")).alias("discount"), "currency",
+        F.when(every(71), "GST/27").otherwise(F.regexp_extract("tax_id_line", ": (.*)", 1)).alias("tax_id"),
+        F.when(every(61), "P1").otherwise(F.col("po_number")).alias("po_number"),
         F.concat_ws(" ", "buyer_name", F.lit(fixed.BUYER_STREET)).alias("address"),
         F.lit("Net 30").alias("payment_terms"), F.col("lang").alias("detected_language"),
     )
