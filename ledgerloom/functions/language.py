@@ -1,80 +1,75 @@
-"""Language and script detection as column expressions over the whole text."""
+"""Language and script detection over the whole text.
 
-from __future__ import annotations
+with_language works in steps of its own columns, so that each count is taken
+once per text; the word lists go to Spark as SQL text, one expression per list.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed
 from ledgerloom.functions.text import tokens
 
+_ANY_SCRIPT = f"[{''.join(fixed.SCRIPT_CLASSES.values())}]"
 
-def script_counts(text: Column) -> dict[str, Column]:
-    return {
-        code: F.regexp_count(text, F.lit(f"[{blocks}]"))
-        for code, blocks in fixed.SCRIPT_CLASSES.items()
-    }
+
+def stripped(text: Column) -> Column:
+    """The text without white space at both ends; NULL counts as empty."""
+    return F.btrim(F.coalesce(text, F.lit("")), F.lit(fixed.WHITESPACE_CHARS))
 
 
-def first_seen(text: Column, code: str) -> Column:
-    """Position of the first character of a script, 0 when it does not occur."""
-    return F.regexp_instr(text, F.lit(f"[{fixed.SCRIPT_CLASSES[code]}]"))
+def _in_list(words: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
 
 
-def dominant_script(counts: dict[str, Column], text: Column) -> Column:
-    """Language of the most frequent script; '' when no script has enough characters.
+def with_script(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds the language of the most frequent script; '' when no script has enough characters.
 
-    Of equally frequent scripts the one seen first in the text wins.
+    Of equally frequent scripts the one seen first in the text wins. A text
+    without any character of the scripts is tested once and not counted.
     """
-    top = F.greatest(*counts.values())
-    ranked = [
-        F.when((n == top) & (n > 0), F.struct(first_seen(text, code).alias("at"), F.lit(code).alias("code")))
-        for code, n in counts.items()
+    counts = F.struct(*[F.regexp_count(text, F.lit(f"[{b}]")).alias(c) for c, b in fixed.SCRIPT_CLASSES.items()])
+    docs = docs.withColumn("_scripts", F.when(F.col(text).rlike(_ANY_SCRIPT), counts))
+    n = {code: F.col(f"_scripts.{code}") for code in fixed.SCRIPT_CLASSES}
+    docs = docs.withColumn("_most", F.greatest(*n.values()))
+    first = [
+        F.when(n[code] == F.col("_most"),
+               F.struct(F.regexp_instr(text, F.lit(f"[{blocks}]")).alias("at"), F.lit(code).alias("code")))
+        for code, blocks in fixed.SCRIPT_CLASSES.items()
     ]
-    return F.when(top > fixed.MIN_SCRIPT_CHARS, F.least(*ranked)["code"]).otherwise("")
-
-
-def detect_script(text: Column) -> Column:
-    return F.coalesce(F.nullif(dominant_script(script_counts(text), text), F.lit("")), F.lit("en"))
-
+    enough = F.col("_most") > fixed.MIN_SCRIPT_CHARS
+    docs = docs.withColumn(out, F.when(enough, F.least(*first)["code"]).otherwise(""))
+    return docs.drop("_scripts", "_most")
 
-def _one_of(words: list[str]) -> Callable[[Column], Column]:
-    return lambda token: token.isin(words)
 
-
-def word_hits(text: Column) -> Column:
-    """Those tokens of the text that are a function word of any language."""
+def with_profile(docs: DataFrame, text: str, out: str) -> DataFrame:
+    """Adds struct<hits, rank, lang> of the language with most function words, in list
+    order on a tie."""
     known = sorted({w for words in fixed.LANGUAGE_WORDS.values() for w in words})
-    return F.filter(tokens(text), _one_of(known))
-
-
-def language_scores(hits: Column) -> Column:
-    """Function-word count per language as array<struct<hits, rank, lang>>, best first."""
-    scores = []
-    for rank, (lang, words) in enumerate(fixed.LANGUAGE_WORDS.items()):
-        n = F.size(F.filter(hits, _one_of(words)))
-        scores.append(F.struct(n.alias("hits"), F.lit(-rank).alias("rank"), F.lit(lang).alias("lang")))
-    return F.sort_array(F.array(*scores), asc=False)
-
+    docs = docs.withColumn("_tokens", tokens(F.col(text)))
+    docs = docs.withColumn("_words", F.expr(f"filter(_tokens, w -> w IN {_in_list(known)})"))
+    scores = ", ".join(
+        f"named_struct('hits', size(filter(_words, w -> w IN {_in_list(words)})), 'rank', {-rank}, 'lang', '{lang}')"
+        for rank, (lang, words) in enumerate(fixed.LANGUAGE_WORDS.items())
+    )
+    return docs.withColumn(out, F.expr(f"array_max(array({scores}))")).drop("_tokens", "_words")
 
-def profile_language(hits: Column) -> Column:
-    """Language with most function words, in list order on a tie; '' when there are none."""
-    best = language_scores(hits)[0]
-    return F.when(best["hits"] > 0, best["lang"]).otherwise("")
 
+def with_language(docs: DataFrame, text: str = "text", out: str = "lang_code") -> DataFrame:
+    """Adds the language: 'en' for short texts, else by script, by function words, else 'en'.
 
-def detect_language(text: Column) -> Column:
-    """Short texts are 'en'; then the script decides, then the function words, then 'en'."""
-    script = dominant_script(script_counts(text), text)
-    words = profile_language(word_hits(text))
-    return F.when(F.length(stripped(text)) < fixed.MIN_DETECT_LENGTH, "en").otherwise(
-        F.coalesce(F.nullif(script, F.lit("")), F.nullif(words, F.lit("")), F.lit("en"))
+    The function words are counted only where the script has not decided.
+    """
+    docs = with_script(docs, text, "_script")
+    docs = docs.withColumn("_size", F.length(stripped(F.col(text))))
+    open_text = F.when((F.col("_size") >= fixed.MIN_DETECT_LENGTH) & (F.col("_script") == ""), F.col(text))
+    docs = with_profile(docs.withColumn("_open", open_text), "_open", "_best")
+    code = (
+        F.when(F.col("_size") < fixed.MIN_DETECT_LENGTH, "en")
+        .when(F.col("_script") != "", F.col("_script"))
+        .when(F.col("_best.hits") > 0, F.col("_best.lang"))
+        .otherwise("en")
     )
-
-
-def stripped(text: Column) -> Column:
-    """The text without white space at both ends; NULL counts as empty."""
-    edge = f"^{fixed.WHITESPACE}|{fixed.WHITESPACE}\\z"
-    return F.regexp_replace(F.coalesce(text, F.lit("")), edge, "")
+    return docs.withColumn(out, code).drop("_script", "_size", "_open", "_best")

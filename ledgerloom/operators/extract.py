@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed
 from ledgerloom.functions.dates import iso_or_text, read_date
-from ledgerloom.functions.language import detect_language
+from ledgerloom.functions.language import with_language
 from ledgerloom.functions.scores import average_confidence, score_map
 from ledgerloom.functions.text import ascii_digits, first_match, line_text, parse_amount, squeeze
 
@@ -124,10 +124,11 @@ def extract_columns(docs: DataFrame, text: str = "text", language: Column | None
     }
     docs = docs.withColumns({f"_e_{k}": v for k, v in entity.items()})
     pick = lambda *cols: F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(""))
-    docs = docs.withColumns({
-        "_date_text": pick(_text("date"), F.col("_e_date"), _text("date_bare")),
-        "_language": detect_language(F.col(text)) if language is None else language,
-    })
+    docs = docs.withColumn("_date_text", pick(_text("date"), F.col("_e_date"), _text("date_bare")))
+    if language is None:
+        docs = with_language(docs, text, "_language")
+    else:
+        docs = docs.withColumn("_language", language)
     docs = docs.withColumns({"_day": read_date(F.col("_date_text")), "_due_day": read_date(_text("due"))})
 
     fields = {

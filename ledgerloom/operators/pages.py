@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed
-from ledgerloom.functions.language import detect_language, stripped
+from ledgerloom.functions.language import stripped, with_language
 
 
 def _page(words: Column, keep) -> tuple[Column, Column]:
@@ -59,11 +59,12 @@ def assemble_documents(pages: DataFrame) -> DataFrame:
     the last page, language of the first page."""
     rows = F.sort_array(F.collect_list(F.struct("page_no", "text", "engine", "conf")))
     docs = pages.groupBy("doc_id").agg(rows.alias("pages"), F.avg("conf").alias("mean"))
-    return docs.select(
+    docs = docs.select(
         "doc_id",
         F.array_join(F.transform("pages", lambda p: p["text"]), "\n").alias("text"),
         F.size("pages").cast("bigint").alias("pages"),
         (F.floor(F.col("mean") * 10000 + 0.5) / 10000).alias("ocr_confidence"),
         F.element_at("pages", -1)["engine"].alias("ocr_engine"),
-        detect_language(F.col("pages")[0]["text"]).alias("lang_code"),
+        F.col("pages")[0]["text"].alias("_first"),
     )
+    return with_language(docs, "_first").drop("_first")

@@ -134,7 +134,7 @@ def status_of(warnings: Column, errors: Column) -> Column:
     return F.when(F.size(errors) > 0, "FAILED").when(F.size(warnings) > 0, "WARNING").otherwise("PASSED")
 
 
-def validate(invoices: DataFrame, as_of: str = fixed.AS_OF) -> DataFrame:
+def validate(invoices: DataFrame, as_of: str) -> DataFrame:
     """Adds status, passed, warnings, errors; with duplicate_of present, the duplicate rule too."""
     rules = [*mandatory_rules(), *number_rules(), *date_rules(as_of), *amount_rules(), *currency_rules()]
     if "duplicate_of" in invoices.columns:

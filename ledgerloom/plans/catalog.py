@@ -247,20 +247,20 @@ def extract_fields(spark, folder):
 @query
 def detect_language(spark, folder):
     docs = invoice_text(spark, folder).select("doc_id", "text")
-    return docs.select("doc_id", language.detect_language(F.col("text")).alias("lang_code"))
+    return language.with_language(docs).drop("text")
 
 
 @query
 def detect_script(spark, folder):
-    docs = invoice_text(spark, folder).select("doc_id", "text")
-    return docs.select("doc_id", language.detect_script(F.col("text")).alias("lang_code"))
+    docs = language.with_script(invoice_text(spark, folder).select("doc_id", "text"), "text", "script")
+    return docs.select("doc_id", F.coalesce(F.nullif("script", F.lit("")), F.lit("en")).alias("lang_code"))
 
 
 def _profiles(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "lang", language.word_hits(F.col("text")).alias("words"))
-    best = docs.withColumn("best", language.language_scores(F.col("words"))[0])
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
+    docs = language.with_profile(docs, "text", "best")
     found = F.when(F.col("best.hits") > 0, F.col("best.lang")).otherwise("")
-    return best.select("doc_id", "lang", found.alias("detected"), F.col("best.hits").alias("hits"))
+    return docs.select("doc_id", "lang", found.alias("detected"), F.col("best.hits").alias("hits"))
 
 
 @query

@@ -34,15 +34,19 @@ def _rows(columns, rows):
     return sorted(out, key=lambda r: tuple((v is None, str(type(v)), v if v is not None else 0) for v in r))
 
 
+seconds: dict[str, tuple[float, float]] = {}
 _SAME = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 def compare(spark, con, name: str, run, sql: str, folder: str) -> str:
     """'' when equal, else what differs."""
+    start = time.time()
     df = run(spark, folder)
     got = _rows(df.columns, [tuple(r) for r in df.collect()])
+    middle = time.time()
     rel = con.sql(sql)
     want = _rows(rel.columns, rel.fetchall())
+    seconds[name] = (middle - start, time.time() - middle)
     if sorted(df.columns) != sorted(rel.columns):
         return f"columns {sorted(df.columns)} vs {sorted(rel.columns)}"
     types = dict(zip(rel.columns, [str(t) for t in rel.types]))
@@ -82,7 +86,7 @@ def main() -> None:
                 verdict = f"rows only: {run(spark, folder).count()}"
         except Exception as error:  # noqa: BLE001 - the loop reports and goes on
             verdict = f"{type(error).__name__}: {str(error)[:600]}"
-        print(f"{name}: {verdict} [{time.time() - t:.1f}s]", flush=True)
+        print(f"{name}: {verdict} [{time.time() - t:.1f}s, spark/sql {seconds.get(name)}]", flush=True)
 
 
 if __name__ == "__main__":
