@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed
-from ledgerloom.functions.text import tokens
+from ledgerloom.functions.text import beyond_ascii, tokens
 
 _ANY_SCRIPT = f"[{''.join(fixed.SCRIPT_CLASSES.values())}]"
 
@@ -31,7 +31,7 @@ def with_script(docs: DataFrame, text: str, out: str) -> DataFrame:
     without any character of the scripts is tested once and not counted.
     """
     counts = F.struct(*[F.regexp_count(text, F.lit(f"[{b}]")).alias(c) for c, b in fixed.SCRIPT_CLASSES.items()])
-    docs = docs.withColumn("_scripts", F.when(F.col(text).rlike(_ANY_SCRIPT), counts))
+    docs = docs.withColumn("_scripts", F.when(beyond_ascii(F.col(text)) & F.col(text).rlike(_ANY_SCRIPT), counts))
     n = {code: F.col(f"_scripts.{code}") for code in fixed.SCRIPT_CLASSES}
     docs = docs.withColumn("_most", F.greatest(*n.values()))
     first = [

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from pyspark.sql import Column
@@ -43,9 +45,24 @@ def ascii_digits(text: Column) -> Column:
     return F.translate(text, fixed.FOREIGN_DIGITS, fixed.ASCII_DIGITS)
 
 
+def beyond_ascii(text: Column) -> Column:
+    """True when the text has a character outside ASCII: a length test, no search."""
+    return F.octet_length(text) > F.length(text)
+
+
+def has_any(text: Column, words: Sequence[str]) -> Column:
+    return reduce(or_, [F.contains(text, F.lit(word)) for word in words])
+
+
+def ascii_digits_of_page(text: Column) -> Column:
+    """ascii_digits for long texts, most of which have no such digit."""
+    return F.when(beyond_ascii(text) & text.rlike(fixed.ODD_DIGITS), ascii_digits(text)).otherwise(text)
+
+
 def line_text(text: Column) -> Column:
     """Blanks squeezed inside the lines, line ends kept: the input of all field patterns."""
-    return F.regexp_replace(text, fixed.LINE_BLANKS, " ")
+    odd = has_any(text, fixed.ODD_ASCII_BLANKS) | (beyond_ascii(text) & text.rlike(fixed.ODD_BLANKS))
+    return F.when(odd, F.regexp_replace(text, fixed.LINE_BLANKS, " ")).otherwise(text)
 
 
 def parse_amount(value: Column) -> Column:
@@ -62,9 +79,20 @@ def parse_int(value: Column) -> Column:
     return F.regexp_replace(ascii_digits(value), r"[^0-9]", "").try_cast("bigint")
 
 
-def first_match(text: Column, patterns: Sequence[str]) -> Column:
-    """Group 1 of the first pattern that hits, trimmed; '' when none does."""
-    hits = [F.nullif(F.trim(F.regexp_extract(text, p, 1)), F.lit("")) for p in patterns]
+def first_match(text: Column, patterns: Sequence[str], low: Column | None = None) -> Column:
+    """Group 1 of the first pattern that hits, trimmed; '' when none does.
+
+    With low, the text in lower case, a pattern with known words or a known shape
+    is not tried on a text that has none of them: a cheap test saves the search.
+    """
+    hits = []
+    for pattern in patterns:
+        hit = F.nullif(F.trim(F.regexp_extract(text, pattern, 1)), F.lit(""))
+        if low is not None and pattern in fixed.PATTERN_WORDS:
+            hit = F.when(has_any(low, fixed.PATTERN_WORDS[pattern]), hit)
+        elif low is not None and pattern in fixed.PATTERN_SHAPES:
+            hit = F.when(text.rlike(fixed.PATTERN_SHAPES[pattern]), hit)
+        hits.append(hit)
     return F.coalesce(*hits, F.lit(""))
 
 

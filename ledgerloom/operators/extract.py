@@ -1,13 +1,12 @@
 """Field extraction: text table -> sixteen field columns and a confidence map.
 
-Three projections, so that every pattern runs once per text: normalised text,
+Projections in steps, so that every pattern runs once per text: prepared text,
 raw captures, then fields derived from the captures. No shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,29 +15,32 @@ from ledgerloom import fixed
 from ledgerloom.functions.dates import iso_or_text, read_date
 from ledgerloom.functions.language import with_language
 from ledgerloom.functions.scores import average_confidence, score_map
-from ledgerloom.functions.text import ascii_digits, first_match, line_text, parse_amount, squeeze
+from ledgerloom.functions.text import ascii_digits_of_page, first_match, has_any, line_text, parse_amount, squeeze
+
+
+def _hit(text: str, patterns: list[str]) -> Column:
+    return first_match(F.col(text), patterns, F.col("_low"))
 
-_T, _D, _MASKED = "_t", "_d", "_m"
 
 # raw capture name -> expression over the prepared text columns
 _CAPTURES: dict[str, Callable[[], Column]] = {
-    "number": lambda: F.substring(first_match(_T, fixed.NUMBER_PATTERNS), 1, fixed.NUMBER_MAX_LEN),
-    "number_bare": lambda: first_match(_T, [fixed.NUMBER_FALLBACK]),
-    "date": lambda: squeeze(first_match(F.regexp_replace(_D, fixed.DUE_LABEL, "~"), fixed.DATE_PATTERNS)),
-    "date_bare": lambda: first_match(_D, [fixed.DATE_FALLBACK]),
-    "due": lambda: squeeze(first_match(_D, fixed.DUE_PATTERNS)),
-    "vendor": lambda: first_match(_T, fixed.VENDOR_PATTERNS),
-    "buyer": lambda: first_match(_T, fixed.BUYER_PATTERNS),
-    "total": lambda: first_match(_MASKED, fixed.TOTAL_PATTERNS),
-    "subtotal": lambda: first_match(_D, fixed.SUBTOTAL_PATTERNS),
-    "rate": lambda: first_match(_MASKED, fixed.TAX_RATE_PATTERNS),
-    "tax": lambda: first_match(_MASKED, fixed.TAX_AMOUNT_PATTERNS),
-    "discount": lambda: first_match(_D, fixed.DISCOUNT_PATTERNS),
-    "currency": lambda: first_match(_T, fixed.CURRENCY_PATTERNS),
-    "tax_id": lambda: first_match(_T, fixed.TAX_ID_PATTERNS),
-    "po": lambda: first_match(_T, fixed.PO_PATTERNS),
-    "address": lambda: first_match(_T, fixed.ADDRESS_PATTERNS),
-    "terms": lambda: squeeze(first_match(_T, fixed.TERMS_PATTERNS)),
+    "number": lambda: F.substring(_hit("_t", fixed.NUMBER_PATTERNS), 1, fixed.NUMBER_MAX_LEN),
+    "number_bare": lambda: _hit("_t", [fixed.NUMBER_FALLBACK]),
+    "date": lambda: squeeze(_hit("_u", fixed.DATE_PATTERNS)),
+    "date_bare": lambda: _hit("_d", [fixed.DATE_FALLBACK]),
+    "due": lambda: squeeze(_hit("_d", fixed.DUE_PATTERNS)),
+    "vendor": lambda: _hit("_t", fixed.VENDOR_PATTERNS),
+    "buyer": lambda: _hit("_t", fixed.BUYER_PATTERNS),
+    "total": lambda: _hit("_m", fixed.TOTAL_PATTERNS),
+    "subtotal": lambda: _hit("_d", fixed.SUBTOTAL_PATTERNS),
+    "rate": lambda: _hit("_m", fixed.TAX_RATE_PATTERNS),
+    "tax": lambda: _hit("_m", fixed.TAX_AMOUNT_PATTERNS),
+    "discount": lambda: _hit("_d", fixed.DISCOUNT_PATTERNS),
+    "currency": lambda: _hit("_t", fixed.CURRENCY_PATTERNS),
+    "tax_id": lambda: _hit("_t", fixed.TAX_ID_PATTERNS),
+    "po": lambda: _hit("_t", fixed.PO_PATTERNS),
+    "address": lambda: _hit("_t", fixed.ADDRESS_PATTERNS),
+    "terms": lambda: squeeze(_hit("_t", fixed.TERMS_PATTERNS)),
 }
 # a fallback pattern runs only where the labelled one found nothing
 _FALLBACK_OF = {"number_bare": "number", "date_bare": "date"}
@@ -62,10 +64,16 @@ _GROUPS = {
 
 
 def prepare_text(docs: DataFrame, text: str = "text") -> DataFrame:
-    """_t lines with single blanks, _d the same with ASCII digits, _m with subtotal labels masked."""
+    """_t lines with single blanks, _low the same in lower case, _d with ASCII digits,
+    _m with subtotal labels masked, _u with due-date labels masked."""
+    def masked(pattern: str, words: list[str]) -> Column:
+        return F.when(has_any(F.col("_low"), words), F.regexp_replace("_d", pattern, "~")).otherwise(F.col("_d"))
+
     docs = docs.withColumn("_t", line_text(F.coalesce(F.col(text), F.lit(""))))
-    docs = docs.withColumn("_d", ascii_digits(_T))
-    return docs.withColumn("_m", F.regexp_replace(_D, fixed.NOT_TOTAL, "~"))
+    docs = docs.withColumns({"_d": ascii_digits_of_page(F.col("_t")), "_low": F.lower("_t")})
+    return docs.withColumns({
+        "_m": masked(fixed.NOT_TOTAL, fixed.SUBTOTAL_WORDS), "_u": masked(fixed.DUE_LABEL, fixed.DUE_WORDS),
+    })
 
 
 def capture(docs: DataFrame, groups: Iterable[str]) -> DataFrame:

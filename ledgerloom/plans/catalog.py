@@ -506,7 +506,7 @@ def _invoice_postings(spark, folder):
 def _hits(spark, folder):
     wanted = requests.mixed_queries(spark, folder)
     postings = _invoice_postings(spark, folder)
-    rows = ledger.records(spark, folder)
+    rows = stage(ledger.records(spark, folder).select(*search.HIT_COLUMNS), "records")
     return search.apply_facets(search.match(wanted, postings), wanted, rows), postings, rows
 
 
@@ -524,14 +524,14 @@ def bm25_scores(spark, folder):
 
 @query
 def search_topk(spark, folder):
-    return search.search_batch(requests.mixed_queries(spark, folder), ledger.records(spark, folder),
-                               _invoice_postings(spark, folder), 10)
+    rows = stage(ledger.records(spark, folder).select(*search.HIT_COLUMNS), "records")
+    return search.search_batch(requests.mixed_queries(spark, folder), rows, _invoice_postings(spark, folder), 10)
 
 
 @query
 def vendor_search_batch(spark, folder):
-    rows = ledger.records(spark, folder)
-    postings = stage(search.build_postings(ledger.known_fields(spark, folder), ["vendor_name"]), "postings")
+    rows = stage(ledger.records(spark, folder).select(*search.HIT_COLUMNS), "records")
+    postings = stage(search.build_postings(rows, ["vendor_name"]), "postings")
     return search.search_batch(requests.vendor_queries(spark, folder), rows, postings, fixed.BATCH_SEARCH_LIMIT)
 
 
@@ -541,7 +541,7 @@ def _merge_sides(spark, folder):
     rows = ledger.records(spark, folder).select("id", "filename", "invoice_number", "total_amount", "validation_status",
                                                 "processed_at")
     hashes = invoice_text(spark, folder).select(F.col("doc_id").alias("id"), "key", "file_hash")
-    rows = rows.join(hashes, "id")
+    rows = stage(rows.join(hashes, "id"), "stored")
     target = rows.where("key % 4 <> 0").drop("key")
     first = rows.where("key % 4 = 0").withColumn("ingest_seq", F.lit(1))
     again = rows.where("key % 10 = 0").withColumns({
