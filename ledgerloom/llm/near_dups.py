@@ -17,8 +17,11 @@ from ledgerloom.llm.common import hot_join, map_rows, written
 
 #: Pairs of a bucket are compared in blocks of so many members; a larger bucket is several blocks.
 BLOCK = 1024
-#: Partners a member names in the first comparison of all members; if any had more, the next round names all.
-FIRST_PARTNERS = 8
+#: Partners a member names when all members of a bucket are compared by registers. Buckets in which a member had more
+#: are then compared by whole sets, with all partners.
+PARTNERS = 2
+#: Fewer equal registers make no pair plausible: three quarters of them less six standard deviations.
+LEAST_EQUAL = round(0.75 * sketch.REGISTERS - 6 * (0.75 * 0.25 * sketch.REGISTERS) ** 0.5)
 
 
 def signatures(docs: DataFrame) -> DataFrame:
@@ -74,59 +77,97 @@ def _confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_rows(both, each, "a bigint, b bigint", setup=lambda: (sketch.Sketcher(), {}))
 
 
-def _compared(members: DataFrame, partners: int | None) -> DataFrame:
-    """Plausible pairs (a, b) of different components inside the blocks of buckets, and `cut`: whether a member had more
-    partners than it may name. members: key, id, size, component, n, registers."""
-    parts = F.ceil(F.col("size") / BLOCK).cast("int")
+def _blocks(members: DataFrame, columns: list[str]) -> DataFrame:
+    """Members (key, id, size, component, n, registers and columns) dealt by pairs of blocks of their bucket."""
     block = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
-    rows = (members.withColumn("parts", parts).withColumn("block", block)
+    rows = (members.withColumn("parts", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", block)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
             .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-            .select("key", "low", "high", "block", "id", "component", "n", "registers"))
-    rows = rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-
-    def compare(group: list[dict]) -> Iterator[dict]:
-        low, high = group[0]["low"], group[0]["high"]
-        left = [r for r in group if r["block"] == low]
-        right = left if low == high else [r for r in group if r["block"] == high]
-        if not left or not right:
-            return
-        registers = np.frombuffer(b"".join(r["registers"] for r in right), np.uint16).reshape(len(right), -1)
-        component = np.array([r["component"] for r in right])
-        ids, sizes = np.array([r["id"] for r in right]), np.array([r["n"] for r in right], float)
-        for r in left:
-            mine = np.frombuffer(r["registers"], np.uint16)
-            ratio = np.minimum(sizes, r["n"]) / np.maximum(sizes, r["n"])
-            there = np.flatnonzero((component != r["component"]) & (ratio >= 0.75) & ((ids > r["id"]) | (low != high)))
-            if not len(there):
-                continue
-            same = (registers[there] == mine).sum(1)
-            there, same = there[same >= sketch.REGISTERS // 2], same[same >= sketch.REGISTERS // 2]
-            if not len(there):
-                continue
+            .select("key", "low", "high", "block", "id", "component", "n", "registers", *columns))
+    return rows.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+
+
+def _plausible_partners(group: list[dict]) -> Iterator[tuple[dict, list[dict]]]:
+    """Each member of a pair of blocks with the plausible partners of other components, the most alike first."""
+    low, high = group[0]["low"], group[0]["high"]
+    left = [r for r in group if r["block"] == low]
+    right = left if low == high else [r for r in group if r["block"] == high]
+    if not left or not right:
+        return
+    registers = np.frombuffer(b"".join(r["registers"] for r in right), np.uint16).reshape(len(right), -1)
+    component = np.array([r["component"] for r in right])
+    ids, sizes = np.array([r["id"] for r in right]), np.array([r["n"] for r in right], float)
+    for r in left:
+        mine = np.frombuffer(r["registers"], np.uint16)
+        ratio = np.minimum(sizes, r["n"]) / np.maximum(sizes, r["n"])
+        there = np.flatnonzero((component != r["component"]) & (ratio >= 0.75) & ((ids > r["id"]) | (low != high)))
+        same = (registers[there] == mine).sum(1)
+        near = same >= LEAST_EQUAL
+        there, same = there[near], same[near]
+        if len(there):
             ok = sketch.plausible(np.broadcast_to(mine, (len(there), len(mine))), registers[there],
                                   np.full(len(there), float(r["n"])), sizes[there])
-            there = there[ok][np.argsort(-same[ok], kind="stable")]
-            cut = partners is not None and len(there) > partners
-            for k in there[:partners]:
-                x, y = r["id"], int(ids[k])
-                yield {"a": min(x, y), "b": max(x, y), "cut": cut}
+            order = np.argsort(-same[ok], kind="stable")
+            if len(order):
+                yield r, [right[k] for k in there[ok][order]]
 
+
+def _by_group(rows: DataFrame, compare, schema: str, setup=lambda: None) -> DataFrame:
+    """compare(rows of a pair of blocks, state) over sorted rows; a task holds one pair of blocks at a time."""
     def each(row, state):
         place = (row["key"], row["low"], row["high"])
         if state["place"] != place:
             if len(state["rows"]) > 1:
-                yield from compare(state["rows"])
+                yield from compare(state["rows"], state["own"])
             state.update(place=place, rows=[])
         state["rows"].append(row)
 
     def finish(state):
         if len(state["rows"]) > 1:
-            yield from compare(state["rows"])
+            yield from compare(state["rows"], state["own"])
+
+    return map_rows(rows, each, schema, finish=finish, setup=lambda: {"place": None, "rows": [], "own": setup()})
+
+
+def _named_partners(members: DataFrame, partners: int = PARTNERS) -> DataFrame:
+    """key, a, b, cut: the `partners` most plausible pairs of each member, and whether it had more."""
+    def compare(group, _):
+        for r, others in _plausible_partners(group):
+            for o in others[:partners]:
+                yield {"key": r["key"], "a": min(r["id"], o["id"]), "b": max(r["id"], o["id"]),
+                       "cut": len(others) > partners}
+
+    return _by_group(_blocks(members, []), compare, "key bigint, a bigint, b bigint, cut boolean")
 
-    return (map_rows(rows, each, "a bigint, b bigint, cut boolean", finish=finish,
-                     setup=lambda: {"place": None, "rows": []})
-            .groupBy("a", "b").agg(F.max("cut").alias("cut")))
+
+def _linked_members(members: DataFrame) -> DataFrame:
+    """a, b: links between components inside pairs of blocks, confirmed on whole sets; members have a text.
+
+    A link is left out if the links before it already join its two components, so a group gives fewer links than it has
+    members however many of its pairs are similar.
+    """
+    def compare(group, sketcher):
+        joined: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while joined.get(x, x) != x:
+                x = joined[x]
+            return x
+
+        sets: dict[int, np.ndarray] = {}
+        for r, others in _plausible_partners(group):
+            for o in others:
+                x, y = root(r["component"]), root(o["component"])
+                if x == y:
+                    continue
+                for m in (r, o):
+                    if m["id"] not in sets:
+                        sets[m["id"]] = sketcher.shingles(m["text"])
+                if sketch.overlap(sets[r["id"]], sets[o["id"]]):
+                    joined[max(x, y)] = min(x, y)
+                    yield {"a": min(r["id"], o["id"]), "b": max(r["id"], o["id"])}
+
+    return _by_group(_blocks(members, ["text"]), compare, "a bigint, b bigint", setup=sketch.Sketcher).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -159,7 +200,8 @@ def link_near_duplicates(docs: DataFrame) -> DataFrame:
 
     A link of similarity s is a candidate with probability 1 - (1 - s^4)^32: all but five in a million at 0.75. Of a
     bucket, first every node is compared with the least one. Where a bucket still has several components, all its
-    members are compared by registers, in blocks, until no plausible pair of different components is left.
+    members are compared by registers, in blocks, and each names its most plausible partners in other components. Where
+    one had more than it may name, the bucket's members are compared again with all of them, by whole sets.
     """
     signed = signatures(docs)
     classes = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"))
@@ -182,18 +224,24 @@ def link_near_duplicates(docs: DataFrame) -> DataFrame:
     # a node in two shingle sets (one doc_id, two texts) is linked with itself
     links = written(_confirmed(_sketched(stars, nodes), texts), "dup-links")
     found = components(links)
-    for partners in (FIRST_PARTNERS, None):
-        named = shared.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        open_keys = (named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                     .where("low != high").select("key"))
-        members = (named.join(open_keys, "key").select("key", "id", "size", "component").join(nodes, "id"))
-        pairs = written(_compared(members, partners), "dup-pairs")
-        more = written(_confirmed(pairs.select("a", "b"), texts), "dup-links")
-        if more.limit(1).count():
-            links = links.unionByName(more)
-            found = components(links)
-        if partners is None or not pairs.where("cut").limit(1).count():
-            break
+
+    def open_members(of: DataFrame) -> DataFrame:
+        """Members, with registers, of the buckets that hold several components."""
+        named = of.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        keys = (named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+                .where("low != high").select("key"))
+        return named.join(keys, "key").select("key", "id", "size", "component").join(nodes, "id")
+
+    pairs = written(_named_partners(open_members(shared)), "dup-pairs")
+    more = written(_confirmed(pairs.groupBy("a", "b").agg(F.lit(1)).select("a", "b"), texts), "dup-links")
+    if more.limit(1).count():
+        links = links.unionByName(more)
+        found = components(links)
+    cut = written(pairs.where("cut").select("key").distinct(), "dup-cut")
+    if cut.limit(1).count():
+        crowded = open_members(shared.join(cut, "key", "left_semi")).join(texts, "id")
+        more = written(_linked_members(crowded), "dup-links")
+        found = components(links.unionByName(more))
     named = (hot_join(member, found, ["id"], "doc_id", how="left", salts=16)
              .select("doc_id", "n", F.coalesce("component", "id").alias("component_id")))
     alone = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))

@@ -80,7 +80,7 @@ def overlap(a: np.ndarray, b: np.ndarray) -> bool:
     return 100 * both >= 75 * (len(a) + len(b) - both)
 
 
-_GRID = np.linspace(0.0, 1.0, 101)
+_GRID = np.linspace(0.0, 1.0, 41)
 
 
 def _less(x: np.ndarray) -> np.ndarray:
