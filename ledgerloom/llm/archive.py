@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import SALTS, hot_join, written
+from ledgerloom.llm.common import written
 from ledgerloom.session import work_dir
 
 END = "\r\n"
@@ -79,8 +79,9 @@ def write_archive(pages: DataFrame, folder: str | None = None) -> Archive:
                         F.octet_length("payload").alias("bytes"))
     named = written(named, "warc-digests")
     first = named.groupBy("sha256").agg(F.min("page_id").alias("first"))
-    spread = F.xxhash64("page_id", "url")
-    headers = hot_join(named, first, ["sha256"], spread, salts=SALTS)
+    # a payload may hold a large share of the pages: such a partition is split by Spark's skew-join handling, which
+    # costs nothing for the other digests
+    headers = named.join(first, "sha256")
     # without a page_id the comparison is null, which makes the record a response
     headers.select("page_id", "sha256", _header(F.coalesce("first", F.lit(0))).alias("header")).write.parquet(
         f"{folder}/headers")
@@ -112,7 +113,7 @@ def read_records(archive: Archive) -> DataFrame:
         "page_id", "sha256", "header", value("WARC-Type").alias("record_type"),
         value("WARC-Payload-Digest").alias("stated"), value("Content-Length").cast("bigint").alias("block_bytes"),
         F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:page:(-?\d+)>", 1).alias("refers"))
-    joined = hot_join(header, payload, ["sha256"], F.xxhash64("header"))
+    joined = header.join(payload, "sha256")
     block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
     return joined.select(
         "page_id", "payload_bytes", "payload_digest", "record_type",
