@@ -10,7 +10,7 @@ from ledgerloom.llm.common import SALTS, WORD, hot_join, written
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
 #: Classes of the order; only the class that the last sampled document is in is ranked row by row.
-ORDER_CLASSES = 65536
+ORDER_CLASSES = 4096
 SEED = "mix"
 
 
