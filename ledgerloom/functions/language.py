@@ -58,7 +58,7 @@ def with_profile(docs: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def with_language(docs: DataFrame, text: str = "text", out: str = "lang_code") -> DataFrame:
-    """Adds the language: 'en' for short texts, else by script, by function words, else 'en'.
+    """Adds the language: 'en' for short texts, else by script (Chinese script with kana is Japanese), by function words, else 'en'.
 
     The function words are counted only where the script has not decided.
     """
@@ -68,6 +68,7 @@ def with_language(docs: DataFrame, text: str = "text", out: str = "lang_code") -
     docs = with_profile(docs.withColumn("_open", open_text), "_open", "_best")
     code = (
         F.when(F.col("_size") < fixed.MIN_DETECT_LENGTH, "en")
+        .when((F.col("_script") == "zh") & F.col(text).rlike(fixed.KANA), "ja")
         .when(F.col("_script") != "", F.col("_script"))
         .when(F.col("_best.hits") > 0, F.col("_best.lang"))
         .otherwise("en")

@@ -70,7 +70,7 @@ def parse_amount(value: Column) -> Column:
     kept = F.regexp_replace(ascii_digits(value), r"[^0-9.,\-]", "")
     dotted = F.translate(F.translate(kept, ".", ""), ",", ".")
     plain = F.translate(kept, ",", "")
-    is_dotted = kept.rlike(r"^\d{1,3}(\.\d{3})+(,\d+)?\z")
+    is_dotted = kept.rlike(r"^-?\d{1,3}(\.\d{3})+(,\d+)?\z")
     return F.when(is_dotted, dotted).otherwise(plain).try_cast("double")
 
 

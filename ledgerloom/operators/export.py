@@ -38,6 +38,6 @@ def export(invoices: DataFrame, folder: str, fmt: str = "both", limit: int | Non
 
 
 def read_csv_export(spark, path: str, schema: str) -> DataFrame:
-    """Reads an export back; the schema replaces the header's names."""
+    """Reads an export back; the schema replaces the header's names. Values may hold line feeds."""
     return (spark.read.schema(schema).option("header", True).option("enforceSchema", True)
-            .option("quote", '"').option("escape", '"').option("lineSep", "\n").csv(path))
+            .option("multiLine", True).option("quote", '"').option("escape", '"').option("lineSep", "\n").csv(path))

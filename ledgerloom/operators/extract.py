@@ -24,7 +24,7 @@ def _hit(text: str, patterns: list[str]) -> Column:
 
 # raw capture name -> expression over the prepared text columns
 _CAPTURES: dict[str, Callable[[], Column]] = {
-    "number": lambda: F.substring(_hit("_t", fixed.NUMBER_PATTERNS), 1, fixed.NUMBER_MAX_LEN),
+    "number": lambda: _hit("_t", fixed.NUMBER_PATTERNS),
     "number_bare": lambda: _hit("_t", [fixed.NUMBER_FALLBACK]),
     "date": lambda: squeeze(_hit("_u", fixed.DATE_PATTERNS)),
     "date_bare": lambda: _hit("_d", [fixed.DATE_FALLBACK]),
@@ -127,8 +127,8 @@ def extract_columns(docs: DataFrame, text: str = "text", language: Column | None
 
     entity = {
         "date": _entity(0, "DATE") if has_entities else F.lit(""),
-        "vendor": F.substring(_entity(0, "ORG"), 1, fixed.PARTY_MAX_LEN) if has_entities else F.lit(""),
-        "buyer": F.substring(_entity(1, "ORG"), 1, fixed.PARTY_MAX_LEN) if has_entities else F.lit(""),
+        "vendor": _entity(0, "ORG") if has_entities else F.lit(""),
+        "buyer": _entity(1, "ORG") if has_entities else F.lit(""),
     }
     docs = docs.withColumns({f"_e_{k}": v for k, v in entity.items()})
     pick = lambda *cols: F.coalesce(*[F.nullif(c, F.lit("")) for c in cols], F.lit(""))
@@ -143,8 +143,8 @@ def extract_columns(docs: DataFrame, text: str = "text", language: Column | None
         "invoice_number": pick(_text("number"), _text("number_bare")),
         "invoice_date": iso_or_text(F.col("_day"), F.col("_date_text")),
         "due_date": iso_or_text(F.col("_due_day"), _text("due")),
-        "vendor_name": pick(F.substring(_text("vendor"), 1, fixed.PARTY_MAX_LEN), F.col("_e_vendor")),
-        "buyer_name": pick(F.substring(_text("buyer"), 1, fixed.PARTY_MAX_LEN), F.col("_e_buyer")),
+        "vendor_name": pick(_text("vendor"), F.col("_e_vendor")),
+        "buyer_name": pick(_text("buyer"), F.col("_e_buyer")),
         "total_amount": parse_amount(_text("total")),
         "subtotal": parse_amount(_text("subtotal")),
         "tax_amount": parse_amount(_text("tax")),
@@ -153,7 +153,7 @@ def extract_columns(docs: DataFrame, text: str = "text", language: Column | None
         "currency": currency_of(_text("total"), _text("currency")),
         "tax_id": _text("tax_id"),
         "po_number": _text("po"),
-        "address": F.substring(squeeze(_text("address")), 1, fixed.ADDRESS_MAX_LEN),
+        "address": squeeze(_text("address")),
         "payment_terms": _text("terms"),
         "detected_language": F.col("_language"),
     }

@@ -12,9 +12,8 @@ from ledgerloom.functions import dates, language, scores, text
 from ledgerloom.operators import analytics, duplicates, export, extract, pages, search, upsert, validate, views
 from ledgerloom.plans import jobs
 from ledgerloom.session import inline_table, stage, stage_path, work_dir
-from ledgerloom.sources import files, ledger, recognised, requests
+from ledgerloom.sources import ledger, recognised, requests
 from ledgerloom.sources.invoices import cents_text, invoice_facts, invoice_text
-from ledgerloom.sources.seed import seed_invoices
 from ledgerloom.sources.tables import table
 from ledgerloom.streaming import intake
 
@@ -38,12 +37,6 @@ def _joined(column: str) -> Column:
 
 # --- sources -----------------------------------------------------------------
 
-@query
-def scan_supported_files(spark, folder):
-    """The given folder holds table files, so their suffix is the accepted one here."""
-    return files.scan_files(spark, folder, [".parquet"]).select("filename", "extension", "length")
-
-
 @query
 def supported_file_filter(spark, folder):
     facts = invoice_facts(spark, folder)
@@ -65,16 +58,6 @@ def list_recent(spark, folder):
     return views.record_view(views.newest_first(ledger.records(spark, folder), fixed.RECENT_ROWS))
 
 
-@query
-def seed_invoices_table(spark, folder):
-    orders = table(spark, folder, "orders")
-    n = orders.count()
-    return seed_invoices(orders, 2 * n, n)
-
-
-_QUERIES["seed_invoices"] = _QUERIES.pop("seed_invoices_table")
-
-
 @query
 def render_invoice_text(spark, folder):
     return invoice_text(spark, folder).select(
@@ -124,7 +107,11 @@ def normalize_whitespace(spark, folder):
 
 @query
 def clean_text(spark, folder):
-    return table(spark, folder, "documents").select("doc_id", text.clean_text(F.col("text")).alias("text"))
+    """Letters and digits of the texts are widened first; cleaning has to bring them back."""
+    plain = "".join(map(chr, range(0x21, 0x7F)))
+    wide = "".join(chr(ord(c) + 0xFEE0) for c in plain)
+    return table(spark, folder, "documents").select(
+        "doc_id", text.clean_text(F.translate("text", plain, wide)).alias("text"))
 
 
 @query
@@ -242,8 +229,28 @@ def extract_fields(spark, folder):
                          "avg_field_confidence")
 
 
+@query
+def extraction_accuracy(spark, folder):
+    """Fields read from the rendered texts next to the facts they were rendered from."""
+    def as_rows(rows: DataFrame, key: str, value: str) -> DataFrame:
+        fields = [F.struct(F.lit(f).alias("field"), F.coalesce(F.col(f).cast("string"), F.lit("")).alias(value))
+                  for f in fixed.CHECKED_FIELDS]
+        return rows.select(F.col(key).alias("id"), F.explode(F.array(*fields)).alias("x")).select("id", "x.*")
+
+    read = as_rows(extract.extract_columns(invoice_text(spark, folder)), "doc_id", "got")
+    facts = as_rows(ledger.known_fields(spark, folder), "id", "want")
+    both = facts.join(read, ["id", "field"], "left")
+    return both.groupBy("field", F.pmod(F.col("id") - 1, F.lit(7)).alias("template")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("got") == F.col("want")).alias("n_right"))
+
+
 # --- language ----------------------------------------------------------------
 
+@query
+def document_languages(spark, folder):
+    return language.with_language(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+
+
 @query
 def detect_language(spark, folder):
     docs = invoice_text(spark, folder).select("doc_id", "text")
@@ -403,7 +410,7 @@ def analytics_summary(spark, folder):
 
 @query
 def status_summary(spark, folder):
-    return analytics.status_summary(views.newest_first(ledger.records(spark, folder), fixed.RECENT_ROWS))
+    return analytics.status_summary(ledger.records(spark, folder))
 
 
 @query
@@ -459,7 +466,7 @@ def search_amount_range(spark, folder):
 
 @query
 def search_keyword_scan(spark, folder):
-    rows = search.scan_filter(ledger.invoices(spark, folder), search.Request(q="Part 17", vendor="acme"))
+    rows = search.scan_filter(ledger.invoices(spark, folder), search.Request(q="Part 17", vendor="lantern"))
     return rows.select(*search.HIT_COLUMNS)
 
 

@@ -52,7 +52,7 @@ def first_match(t: str, patterns) -> str:
 
 def parse_amount(v: str) -> str:
     kept = f"regexp_replace({ascii_digits(v)}, '[^0-9.,\\-]', '', 'g')"
-    return (f"TRY_CAST(CASE WHEN regexp_matches({kept}, '^\\d{{1,3}}(\\.\\d{{3}})+(,\\d+)?\\z') "
+    return (f"TRY_CAST(CASE WHEN regexp_matches({kept}, '^-?\\d{{1,3}}(\\.\\d{{3}})+(,\\d+)?\\z') "
             f"THEN replace(replace({kept}, '.', ''), ',', '.') ELSE replace({kept}, ',', '') END AS DOUBLE)")
 
 
@@ -80,7 +80,7 @@ def iso(d: str) -> str:
 
 _T = fixed.TEMPLATES
 _KEYED = {"lang": 1, "base_currency": 2, "sym": 3, "vendor": 4, "buyer": 5, "subtotal_label": 6,
-          "tax_label": 7, "tax_rate": 8, "total_label": 9}
+          "tax_label": 7, "tax_rate": 8, "total_label": 9, "note": 10}
 
 FACTS = f"""
 line_cents AS (
@@ -104,7 +104,7 @@ dated AS (
     CASE WHEN key % 31 = 0 AND key > 0 THEN key - 1 ELSE key END AS number_key
   FROM order_base),
 facts AS (
-  SELECT key, lang, sym, subtotal_c, subtotal_label, tax_label, tax_rate, total_label,
+  SELECT key, lang, sym, subtotal_c, subtotal_label, tax_label, tax_rate, total_label, note,
     'INV-' || CASE WHEN length(CAST(number_key AS VARCHAR)) < 6 THEN lpad(CAST(number_key AS VARCHAR), 6, '0')
       ELSE CAST(number_key AS VARCHAR) END AS invoice_number,
     invoice_day,
@@ -139,7 +139,7 @@ ranked AS (
 items AS (
   SELECT l_orderkey, string_agg('Part ' || l_partkey || ' ' || CAST(l_quantity AS BIGINT) || ' '
     || {cents_text('unit_c', _LINE_SYM)} || ' ' || {cents_text('amount_c', _LINE_SYM)}, chr(10) ORDER BY rn) AS items
-  FROM ranked WHERE rn <= {fixed.SHOWN_LINES} GROUP BY l_orderkey),
+  FROM ranked GROUP BY l_orderkey),
 rendered AS (
   SELECT key + 1 AS doc_id, f.*, concat_ws(chr(10),
     'INVOICE', 'Invoice No: ' || invoice_number, 'Invoice Date: ' || {_SHOWN_DATE},
@@ -152,7 +152,7 @@ rendered AS (
     subtotal_label || ': ' || {cents_text('subtotal_c', 'sym')},
     tax_label || ' (' || tax_rate || '): ' || {cents_text('tax_c', 'sym')},
     total_label || ': ' || {cents_text('total_c', 'sym')}, '',
-    {lit(fixed.TERMS_LINE)}, {lit(fixed.BANK_LINE)}, {lit(fixed.FOOTER_LINE)}) AS text
+    {lit(fixed.TERMS_LINE)}, {lit(fixed.BANK_LINE)}, note) AS text
   FROM facts f JOIN items ON l_orderkey = key),
 texts AS (SELECT doc_id, key, filename, sha256(text) AS file_hash, text, received_at FROM rendered)"""
 
@@ -168,10 +168,10 @@ KNOWN = FACTS + f""",
 known AS (
   SELECT key + 1 AS id, key, filename, received_at, invoice_number, {iso('invoice_day')} AS invoice_date,
     {iso('due_day')} AS due_date, vendor_name, buyer_name, total_c / 100 AS total_amount, subtotal_c / 100 AS subtotal,
-    tax_c / 100 AS tax_amount, tax_rate, CASE WHEN key % 67 = 0 THEN -(discount_c / 100) ELSE discount_c / 100 END AS discount,
+    tax_c / 100 AS tax_amount, tax_rate, CASE WHEN key % 67 = 0 THEN (0 - discount_c) / 100 ELSE discount_c / 100 END AS discount,
     currency, CASE WHEN key % 71 = 0 THEN 'GST/27' ELSE regexp_extract(tax_id_line, ': (.*)', 1) END AS tax_id,
     CASE WHEN key % 61 = 0 THEN 'P1' ELSE po_number END AS po_number,
-    buyer_name || ' ' || {lit(fixed.BUYER_STREET)} AS address, 'Net 30' AS payment_terms, lang AS detected_language
+    buyer_name || ' ' || {lit(fixed.BUYER_STREET)} AS address, {lit(fixed.TERMS)} AS payment_terms, lang AS detected_language
   FROM facts),
 scored AS (
   SELECT *, {_mean([f'score_{k}' for k in fixed.CONFIDENCE_KEYS])} AS avg_field_confidence,
@@ -323,7 +323,8 @@ profile AS (SELECT {keep}, CASE WHEN {top} = 0 THEN '' {best} END AS detected, {
 def _language(source: str) -> str:
     return word_profile(source, "doc_id") + f""",
 lang_codes AS (SELECT t.doc_id, CASE WHEN length({stripped('t.text')}) < {fixed.MIN_DETECT_LENGTH} THEN 'en'
-  ELSE coalesce(nullif({script_code('t.text')}, ''), nullif(detected, ''), 'en') END AS lang_code
+  ELSE coalesce(CASE WHEN {script_code('t.text')} = 'zh' AND regexp_matches(t.text, {lit(fixed.KANA)}) THEN 'ja' END,
+    nullif({script_code('t.text')}, ''), nullif(detected, ''), 'en') END AS lang_code
   FROM {source} t JOIN profile USING (doc_id))"""
 
 
@@ -338,7 +339,7 @@ def _currency() -> str:
 
 
 _RAW = {
-    "number": f"substr({first_match('t', fixed.NUMBER_PATTERNS)}, 1, {fixed.NUMBER_MAX_LEN})",
+    "number": first_match("t", fixed.NUMBER_PATTERNS),
     "number_bare": first_match("t", [fixed.NUMBER_FALLBACK]),
     "date": squeeze(first_match(f"regexp_replace(d, {lit(fixed.DUE_LABEL)}, '~', 'g')", fixed.DATE_PATTERNS)),
     "date_bare": first_match("d", [fixed.DATE_FALLBACK]),
@@ -390,11 +391,11 @@ fielded AS (
     coalesce(nullif(r_number, ''), nullif(r_number_bare, ''), '') AS invoice_number,
     coalesce({iso(read_date('date_text'))}, date_text) AS invoice_date,
     coalesce({iso(read_date('r_due'))}, r_due) AS due_date,
-    substr(r_vendor, 1, {fixed.PARTY_MAX_LEN}) AS vendor_name, substr(r_buyer, 1, {fixed.PARTY_MAX_LEN}) AS buyer_name,
+    r_vendor AS vendor_name, r_buyer AS buyer_name,
     {parse_amount('r_total')} AS total_amount, {parse_amount('r_subtotal')} AS subtotal,
     {parse_amount('r_tax')} AS tax_amount, nullif(r_rate, '') AS tax_rate, {parse_amount('r_discount')} AS discount,
     {_currency()} AS currency, r_tax_id AS tax_id, r_po AS po_number,
-    substr({squeeze('r_address')}, 1, {fixed.ADDRESS_MAX_LEN}) AS address, r_terms AS payment_terms
+    {squeeze('r_address')} AS address, r_terms AS payment_terms
   FROM shown),
 graded AS (SELECT *, {', '.join(_score_sql(k) for k in fixed.CONFIDENCE_KEYS)} FROM fielded)"""
 
@@ -470,14 +471,16 @@ def _postings(rows: list[tuple[str, str, str]], name: str = "postings") -> str:
 _SUPP_WORD = [t[4].split(" ")[0] for t in _T]
 _SUPP_SECOND = [t[4].split(" ")[1] for t in _T]
 MIXED = f"""
-asked AS (SELECT s_suppkey AS query_id, {pick('s_suppkey', _SUPP_WORD)} || ' ' || s_suppkey AS q,
-  CASE WHEN s_suppkey % 4 = 0 THEN {pick('s_suppkey', _SUPP_SECOND)} END AS vendor,
+asked AS (SELECT s_suppkey AS query_id, CASE s_suppkey % 10 WHEN 7 THEN NULL WHEN 8 THEN 'the of and'
+    ELSE {pick('s_suppkey', _SUPP_WORD)} || ' ' || s_suppkey END AS q,
+  CASE WHEN s_suppkey % 4 = 0 AND s_suppkey % 10 <> 8 THEN {pick('s_suppkey', _SUPP_SECOND)} END AS vendor,
   CASE WHEN s_suppkey % 3 = 0 THEN {pick('s_suppkey', [t[2] for t in _T])} END AS f_currency,
   CASE WHEN s_suppkey % 6 = 0 THEN 'PASSED' END AS f_status,
   CASE WHEN s_suppkey % 5 = 0 THEN 50000.0 END AS f_min, CASE WHEN s_suppkey % 5 = 0 THEN 250000.0 END AS f_max
   FROM supplier)"""
 VENDOR = f"""
-asked AS (SELECT s_suppkey AS query_id, NULL AS q, {pick('s_suppkey', _SUPP_WORD)} AS vendor, NULL AS f_currency,
+asked AS (SELECT s_suppkey AS query_id, NULL AS q,
+  CASE WHEN s_suppkey % 10 = 9 THEN '' ELSE {pick('s_suppkey', _SUPP_WORD)} END AS vendor, NULL AS f_currency,
   NULL AS f_status, NULL AS f_min, NULL AS f_max FROM supplier)"""
 
 MATCH = f"""
@@ -507,7 +510,12 @@ lengths AS (SELECT field, sum(tf) / (SELECT count(*) FROM records) AS avg_len FR
 bm AS (SELECT query_id, doc_id, floor(sum((ln((SELECT count(*) FROM records) / (df + 1)) + 1) * tf * ({fixed.BM25_K1} + 1)
   / (tf + {fixed.BM25_K1} * (1 - {fixed.BM25_B} + {fixed.BM25_B} * len / avg_len))) * 1000000.0 + 0.5) / 1000000.0 AS score
   FROM hits JOIN dfs USING (field, term) JOIN lengths USING (field) GROUP BY ALL),
-placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM bm)"""
+wordless AS (SELECT query_id, id AS doc_id, CAST(0 AS DOUBLE) AS score FROM asked JOIN records ON
+  (f_currency IS NULL OR f_currency = currency) AND (f_status IS NULL OR f_status = validation_status)
+  AND (f_min IS NULL OR total_amount >= f_min) AND (f_max IS NULL OR total_amount <= f_max)
+  WHERE query_id NOT IN (SELECT query_id FROM needed)),
+placed AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank
+  FROM (SELECT query_id, doc_id, score FROM bm UNION ALL SELECT * FROM wordless))"""
 
 _HITS = "id, filename, invoice_number, invoice_date, vendor_name, buyer_name, currency, detected_language, validation_status, total_amount"
 SEARCHED = RECORDS + f""",
@@ -553,27 +561,6 @@ _BADGE = ("CASE WHEN score IS NULL THEN '' ELSE (CASE WHEN score >= 0.85 THEN 'H
           "|| ' ' || CAST(floor(score * 100 + 0.5) AS BIGINT) || '%' END")
 
 
-def _seed() -> str:
-    draw = lambda slot, n: f"(CAST('0x' || substr(g, {1 + 4 * slot}, 4) AS BIGINT) % {n})"
-    sel = lambda slot, values: f"list_extract([{', '.join(lit(v) for v in values)}], {draw(slot, len(values))} + 1)"
-    share = lambda p: f"(total_c * {p} + 50) // 100 / 100"
-    return f"""
-WITH n AS (SELECT count(*) AS n FROM orders),
-ids AS (SELECT unnest(range(n, 2 * n)) AS id FROM n),
-digests AS (SELECT id, md5(CAST(id AS VARCHAR)) AS g FROM ids),
-totals AS (SELECT *, CAST('0x' || substr(g, 5, 8) AS BIGINT) % 4990001 + 10000 AS total_c, {sel(0, fixed.SEED_VENDORS)} AS vendor_name FROM digests)
-SELECT id, 'invoice_' || CASE WHEN length(CAST(id AS VARCHAR)) < 5 THEN lpad(CAST(id AS VARCHAR), 5, '0') ELSE CAST(id AS VARCHAR) END || '.jpg' AS filename,
-  sha256(CAST(id AS VARCHAR)) AS file_hash, {sel(3, fixed.SEED_PREFIXES)} || '-' || ({draw(4, 60000)} + 1000) AS invoice_number,
-  '2023-' || lpad(CAST({draw(5, 12)} + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST({draw(6, 28)} + 1 AS VARCHAR), 2, '0') AS invoice_date,
-  vendor_name, {sel(7, fixed.SEED_VENDORS)} AS buyer_name, total_c / 100 AS total_amount, {share(85)} AS subtotal, {share(15)} AS tax_amount,
-  {sel(2, fixed.SEED_CURRENCIES)} AS currency, {sel(5, fixed.SEED_LANGUAGES)} AS detected_language,
-  {sel(6, fixed.STATUSES)} AS validation_status,
-  'Invoice from ' || vendor_name || ' for services rendered. Total: ' || {money_text('total_c / 100')} AS raw_text,
-  ({draw(1, 481)} + 500) / 1000 AS avg_field_confidence, 'tesseract' AS ocr_engine, ({draw(3, 391)} + 600) / 1000 AS ocr_confidence,
-  false AS is_duplicate
-FROM totals"""
-
-
 _MERGE = RECORDS.replace(FACTS, TEXTS, 1) + f""",
 sides AS (SELECT r.id, r.id - 1 AS k, r.filename, r.invoice_number, r.total_amount, r.validation_status, r.stamp, x.file_hash
   FROM records r JOIN texts x ON x.doc_id = r.id),
@@ -604,7 +591,6 @@ def all_sql() -> dict[str, str]:
         "supported_file_filter": _with(FACTS, f"SELECT key, filename, {_EXTENSION} AS extension, {_SUPPORTED} AS supported FROM facts"),
         "content_hash": "SELECT doc_id, sha256(text) AS sha256, sha1(text) AS sha1, md5(text) AS md5 FROM documents",
         "list_recent": _with(RECORDS, f"SELECT {_VIEW} FROM records r ORDER BY r.processed_at DESC, id DESC LIMIT {fixed.RECENT_ROWS}"),
-        "seed_invoices": _seed(),
         "render_invoice_text": _with(TEXTS, f"SELECT doc_id, filename, file_hash, text, {_STAMP.format('received_at')} AS received_at FROM texts"),
         "page_text": _with(PAGES, f"SELECT doc_id, page_no, text, {_R6} FROM engine_a"),
         "page_text_alt": _with(PAGES, f"SELECT doc_id, page_no, text, {_R6} FROM engine_b"),
@@ -615,6 +601,7 @@ firsts AS (SELECT doc_id, arg_min(text, page_no) AS text FROM chosen GROUP BY 1)
   floor(avg(conf) * 10000.0 + 0.5) / 10000.0 AS ocr_confidence, arg_max(engine, page_no) AS ocr_engine, any_value(lang_code) AS lang_code
 FROM chosen JOIN lang_codes USING (doc_id) GROUP BY doc_id"""),
         "normalize_whitespace": f"SELECT doc_id, {squeeze('text')} AS text FROM documents",
+        "clean_text": f"SELECT doc_id, {squeeze(f'''regexp_replace(text, {lit(fixed.CONTROL)}, '', 'g')''')} AS text FROM documents",
         "strip_control": f"SELECT doc_id, {squeeze(f'''regexp_replace(text, {lit(fixed.CONTROL)}, '', 'g')''')} AS text FROM documents",
         "parse_amount": _with(_raw_amounts(), f"SELECT key, raw, {parse_amount('raw')} AS amount FROM raws"),
         "parse_int": _with(_raw_amounts(), f"SELECT key, raw, TRY_CAST(regexp_replace({ascii_digits('raw')}, '[^0-9]', '', 'g') AS BIGINT) AS number FROM raws"),
@@ -645,6 +632,9 @@ FROM (SELECT doc_id, {_ALL_MATCH} AS a FROM lined)"""),
         "extract_currency": _extract("currency", "score_currency"),
         "extract_payment_terms": _extract("payment_terms", "score_payment_terms"),
         "extract_fields": _with(PROCESSED, f"SELECT doc_id, {_FIELDS}, {_score_json()} AS scores, avg_field_confidence FROM processed"),
+        "document_languages": "WITH " + _language("documents") + " SELECT doc_id, lang_code FROM lang_codes",
+        "extraction_accuracy": _with(FACTS, "SELECT field, CAST(key % 7 AS BIGINT) AS template, count(*) AS n, count(*) AS n_right FROM facts, "
+            f"(VALUES {', '.join(f'({lit(f)})' for f in fixed.CHECKED_FIELDS)}) v(field) GROUP BY ALL"),
         "detect_language": _with(TEXTS + "," + _language("texts"), "SELECT doc_id, lang_code FROM lang_codes"),
         "detect_script": _with(TEXTS, f"SELECT doc_id, coalesce(nullif({script_code('text')}, ''), 'en') AS lang_code FROM texts"),
         "language_profile": _with(word_profile("documents", "doc_id, lang"), "SELECT doc_id, lang, detected, CAST(hits AS INTEGER) AS hits FROM profile"),
@@ -689,7 +679,7 @@ SELECT doc_id, code, CASE code {' '.join(f"WHEN '{c}' THEN {lit(n)}" for c, n in
   count(DISTINCT detected_language) AS languages FROM records"""),
         "status_summary": _with(RECORDS, f"""SELECT count(*) AS total, count(*) FILTER (validation_status = 'PASSED') AS passed,
   count(*) FILTER (validation_status = 'WARNING') AS warning, count(*) FILTER (validation_status = 'FAILED') AS failed
-FROM (SELECT * FROM records ORDER BY processed_at DESC, id DESC LIMIT {fixed.RECENT_ROWS})"""),
+FROM records"""),
         "avg_confidence": _with(KNOWN, "SELECT id, avg_field_confidence FROM scored"),
         "batch_summary": _with(PROCESSED, "SELECT count(*) FILTER (success) AS succeeded, count(*) AS total FROM results"),
         "latency_stats": """
@@ -705,7 +695,7 @@ SELECT event_type, n, floor(m * 10000 + 0.5) / 10000 AS mean, floor(md * 10000 +
         "search_facets": _with(RECORDS, f"SELECT {_HITS} FROM records WHERE currency = 'EUR' AND detected_language = 'de' AND validation_status = 'PASSED'"),
         "search_amount_range": _with(RECORDS, f"SELECT {_HITS} FROM records WHERE total_amount BETWEEN 50000 AND 100000"),
         "search_keyword_scan": _with(SEARCHED.replace(FACTS, TEXTS, 1), f"""SELECT {', '.join('r.' + c for c in _HITS.split(', '))}
-FROM records r JOIN plain_texts p USING (id) WHERE contains(lower(r.vendor_name), 'acme') AND (contains(lower(text), 'part 17')
+FROM records r JOIN plain_texts p USING (id) WHERE contains(lower(r.vendor_name), 'lantern') AND (contains(lower(text), 'part 17')
   OR contains(lower(r.vendor_name), 'part 17') OR contains(lower(r.buyer_name), 'part 17') OR contains(lower(r.invoice_number), 'part 17'))"""),
         "search_scan": _with(SEARCHED.replace(FACTS, TEXTS, 1), f"""SELECT {', '.join('r.' + c for c in _HITS.split(', '))}
 FROM records r JOIN plain_texts p USING (id) WHERE currency = 'EUR' AND total_amount >= 100000 AND (contains(lower(text), 'gmbh')

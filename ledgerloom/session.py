@@ -32,12 +32,15 @@ _local_root: str | None = None
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder below the shared folder of the cluster.
 
-    The cluster names that folder in spark.checkpoint.dir; only a session
-    without it (a test) gets a temporary folder of its own.
+    The cluster names that folder in spark.checkpoint.dir. Only a local session
+    without it gets a temporary folder of its own; elsewhere executors would each
+    write to a disk of their own, so that is an error.
     """
     global _local_root
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _local_root = _local_root or tempfile.mkdtemp(prefix="ledgerloom-")
         root = _local_root
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"

@@ -6,7 +6,7 @@ planted on order keys divisible by a prime, so that every validation rule fires.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed
@@ -42,22 +42,16 @@ def order_sums(lines: DataFrame) -> DataFrame:
     )
 
 
-def shown_lines(lines: DataFrame, symbols: Column) -> DataFrame:
-    """Text of the first few lines of every order, as the invoice layout shows them.
-
-    The rank limit is applied before the shuffle as well, so an order with very
-    many lines sends only a few rows per task.
-    """
-    w = Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)
-    shown = lines.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= fixed.SHOWN_LINES)
+def item_lines(lines: DataFrame, symbols: Column) -> DataFrame:
+    """Text of all lines of every order: one value per order, so its lines meet in one row."""
     line = F.concat(
         F.lit("Part "), F.col("l_partkey").cast("string"), F.lit(" "),
         F.col("l_quantity").cast("bigint").cast("string"), F.lit(" "),
         cents_text(F.col("unit_c"), symbols), F.lit(" "), cents_text(F.col("amount_c"), symbols),
     )
-    by_rank = F.sort_array(F.collect_list(F.struct("rn", line.alias("line"))))
-    return shown.groupBy("l_orderkey").agg(
-        F.array_join(F.transform(by_rank, lambda x: x["line"]), "\n").alias("items")
+    in_order = F.sort_array(F.collect_list(F.struct(*LINE_ORDER, line.alias("line"))))
+    return lines.groupBy("l_orderkey").agg(
+        F.array_join(F.transform(in_order, lambda x: x["line"]), "\n").alias("items")
     )
 
 
@@ -89,7 +83,7 @@ def invoice_facts(spark: SparkSession, folder: str) -> DataFrame:
     full = F.col("subtotal_c") + F.col("raw_tax_c")
     total = F.when(_every(53), F.lit(None).cast("bigint")).when(_every(23), full + F.floor(full / 5)).otherwise(full)
     base = base.select(
-        "key", "lang", "sym", "subtotal_c", "subtotal_label", "tax_label", "tax_rate", "total_label",
+        "key", "lang", "sym", "subtotal_c", "subtotal_label", "tax_label", "tax_rate", "total_label", "note",
         invoice_number(F.when(_every(31) & (F.col("key") > 0), F.col("key") - 1).otherwise(F.col("key"))).alias("invoice_number"),
         day.alias("invoice_day"),
         F.when(_every(29), "").otherwise(F.concat_ws(" ", "vendor", "first_supp")).alias("vendor_name"),
@@ -127,7 +121,7 @@ def shown_date(day: Column, key: Column) -> Column:
 def invoice_text(spark: SparkSession, folder: str) -> DataFrame:
     """Rendered text of every invoice: doc_id, filename, file_hash, text, received_at."""
     sym = F.element_at(F.array(*[F.lit(t[3]) for t in fixed.TEMPLATES]), (F.pmod("l_orderkey", F.lit(7)) + 1).cast("int"))
-    items = shown_lines(line_cents(spark, folder), sym)
+    items = item_lines(line_cents(spark, folder), sym)
     facts = invoice_facts(spark, folder)
     joined = facts.join(items, facts["key"] == items["l_orderkey"])
     money = lambda c: cents_text(F.col(c), F.col("sym"))
@@ -157,7 +151,7 @@ def invoice_text(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(""),
         F.lit(fixed.TERMS_LINE),
         F.lit(fixed.BANK_LINE),
-        F.lit(fixed.FOOTER_LINE),
+        F.col("note"),
     ]
     text = joined.select(
         (F.col("key") + 1).alias("doc_id"), "key", "filename", "received_at", F.concat_ws("\n", *lines).alias("text")

@@ -26,11 +26,11 @@ def known_fields(spark: SparkSession, folder: str) -> DataFrame:
         day("invoice_day").alias("invoice_date"), day("due_day").alias("due_date"), "vendor_name", "buyer_name",
         money("total_c").alias("total_amount"), money("subtotal_c").alias("subtotal"),
         money("tax_c").alias("tax_amount"), "tax_rate",
-        F.when(every(67), -money("discount_c")).otherwise(money("discount_c")).alias("discount"), "currency",
+        F.when(every(67), (F.lit(0) - F.col("discount_c")) / 100).otherwise(money("discount_c")).alias("discount"), "currency",
         F.when(every(71), "GST/27").otherwise(F.regexp_extract("tax_id_line", ": (.*)", 1)).alias("tax_id"),
         F.when(every(61), "P1").otherwise(F.col("po_number")).alias("po_number"),
         F.concat_ws(" ", "buyer_name", F.lit(fixed.BUYER_STREET)).alias("address"),
-        F.lit("Net 30").alias("payment_terms"), F.col("lang").alias("detected_language"),
+        F.lit(fixed.TERMS).alias("payment_terms"), F.col("lang").alias("detected_language"),
     )
 
 

@@ -15,20 +15,22 @@ def _template(position: int) -> Column:
 
 
 def vendor_queries(spark: SparkSession, folder: str) -> DataFrame:
-    """First word of a vendor name, as a search page would send it."""
-    first_word = F.split(_template(4), " ")[0]
+    """First word of a vendor name, as a search page would send it; every tenth is empty."""
+    first_word = F.when(F.col("s_suppkey") % 10 == 9, "").otherwise(F.split(_template(4), " ")[0])
     return table(spark, folder, "supplier").select(F.col("s_suppkey").alias("query_id"), first_word.alias("vendor"),
                                                    F.lit(None).cast("string").alias("q"))
 
 
 def mixed_queries(spark: SparkSession, folder: str) -> DataFrame:
-    """Vendor word plus supplier number, every third one with a currency, every fifth with a range."""
+    """Vendor word plus supplier number, every third one with a currency, every fifth with a range; some have
+    stop words only, or no words at all."""
     key = F.col("s_suppkey")
     none = F.lit(None)
     return table(spark, folder, "supplier").select(
         key.alias("query_id"),
-        F.concat_ws(" ", F.split(_template(4), " ")[0], key).alias("q"),
-        F.when(key % 4 == 0, F.split(_template(4), " ")[1]).alias("vendor"),
+        F.when(key % 10 == 7, none).when(key % 10 == 8, "the of and").otherwise(
+            F.concat_ws(" ", F.split(_template(4), " ")[0], key)).alias("q"),
+        F.when((key % 4 == 0) & (key % 10 != 8), F.split(_template(4), " ")[1]).alias("vendor"),
         F.when(key % 3 == 0, _template(2)).alias("currency"),
         none.cast("string").alias("language"),
         F.when(key % 6 == 0, "PASSED").alias("validation_status"),

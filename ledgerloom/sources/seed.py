@@ -46,7 +46,7 @@ def seed_invoices(existing: DataFrame, size: int, count: int | None = None) -> D
         pick(2, fixed.SEED_CURRENCIES).alias("currency"),
         pick(5, fixed.SEED_LANGUAGES).alias("detected_language"),
         pick(6, fixed.STATUSES).alias("validation_status"),
-        F.concat(F.lit("Invoice from "), F.col("vendor_name"), F.lit(" for services rendered. Total: "),
+        F.concat(F.col("vendor_name"), F.lit(" asks for "),
                  total.cast("decimal(18,2)").cast("string")).alias("raw_text"),
         ((draw(1, 481) + 500) / 1000).alias("avg_field_confidence"),
         F.lit("tesseract").alias("ocr_engine"),
