@@ -101,6 +101,8 @@ RULES = [
 ]
 #: A sentence ends at a line's end, or after one of these marks and blanks.
 MARK = r"([.!?])[ \t]+"
+#: A blank line; it ends a sentence where lines are joined.
+GAP = r"\n([ \t\r]*\n)+"
 LEVEL = r"[^\p{L}\p{N}]+"
 
 
@@ -124,6 +126,11 @@ def _sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda s: F.trim(F.regexp_replace(F.lower(s), LEVEL, " "))), lambda s: s != "")
 
 
+def _unwrapped(text: Column) -> Column:
+    """Each paragraph as one line."""
+    return F.replace(F.regexp_replace(F.regexp_replace(text, GAP, "\x01"), r"[ \t\r\n]+", " "), F.lit("\x01"), F.lit("\n"))
+
+
 def _identifiers(sentences: Column, table: Column) -> Column:
     return F.filter(F.transform(sentences, lambda s: F.try_element_at(table, s)), lambda i: i.isNotNull())
 
@@ -140,7 +147,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(known_sentences().items())])
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", _sentences(text).alias("sentences"),
-                       _sentences(F.regexp_replace(text, r"[ \t\r\n]+", " ")).alias("unwrapped"))
+                       _sentences(_unwrapped(text)).alias("unwrapped"))
     rows = rows.select("doc_id", F.size("sentences").cast("bigint").alias("n_sentences"),
                        _identifiers(F.col("sentences"), table).alias("by_line"),
                        _identifiers(F.col("unwrapped"), table).alias("joined"))

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import sketch
-from ledgerloom.llm.common import hot_join, map_rows, written
+from ledgerloom.llm.common import map_rows, written
 
 #: Pairs of a bucket are compared in blocks of so many members; a larger bucket is several blocks.
 BLOCK = 1024
@@ -207,7 +207,8 @@ def link_near_duplicates(docs: DataFrame) -> DataFrame:
     classes = signed.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"))
     classes = written(classes.where("id IS NOT NULL"), "dup-classes")
     rows = signed.where("n > 0 AND doc_id IS NOT NULL").select("doc_id", "n", "digest")
-    member = written(hot_join(rows, classes, ["digest"], "doc_id").select("doc_id", "n", "id"), "dup-members")
+    # many rows may have one digest: Spark's skew-join handling splits such partitions of the narrow rows
+    member = written(rows.join(classes, "digest").select("doc_id", "n", "id"), "dup-members")
     nodes = (signed.where("n > 0").join(classes.withColumnRenamed("id", "doc_id"), ["doc_id", "digest"], "left_semi")
              .dropDuplicates(["doc_id", "digest"]).select(F.col("doc_id").alias("id"), "n", "registers"))
     nodes = written(nodes, "dup-nodes")
@@ -242,7 +243,7 @@ def link_near_duplicates(docs: DataFrame) -> DataFrame:
         crowded = open_members(shared.join(cut, "key", "left_semi")).join(texts, "id")
         more = written(_linked_members(crowded), "dup-links")
         found = components(links.unionByName(more))
-    named = (hot_join(member, found, ["id"], "doc_id", how="left", salts=16)
+    named = (member.join(found, "id", "left")
              .select("doc_id", "n", F.coalesce("component", "id").alias("component_id")))
     alone = signed.where("n = 0 OR doc_id IS NULL").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     return named.unionByName(alone).select(

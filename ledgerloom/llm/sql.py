@@ -43,7 +43,7 @@ def _op2() -> str:
     return f"""
 WITH known AS (SELECT map(list(s), list(i)) AS m FROM (VALUES {known}) v(s, i)),
 d AS (SELECT doc_id, {ids("coalesce(text, '')")} AS sentences,
-             {ids("regexp_replace(coalesce(text, ''), '[ \\t\\r\\n]+', ' ', 'g')")} AS unwrapped FROM documents),
+             {ids("replace(regexp_replace(regexp_replace(coalesce(text, ''), '" + licences.GAP + "', chr(1), 'g'), '[ \\t\\r\\n]+', ' ', 'g'), chr(1), chr(10))")} AS unwrapped FROM documents),
 i AS (SELECT doc_id, len(sentences) AS n_sentences,
              list_filter(list_transform(sentences, lambda s: m[s]), lambda x: x IS NOT NULL) AS by_line,
              list_filter(list_transform(unwrapped, lambda s: m[s]), lambda x: x IS NOT NULL) AS joined FROM d, known),
