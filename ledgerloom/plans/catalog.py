@@ -628,27 +628,37 @@ def _intake(spark, folder):
 
 @query
 def stream_intake(spark, folder):
-    inbox = _intake(spark, folder)
-    path = stage_path(inbox, "inbox")
-    root = work_dir(spark, "store")
-    stream = spark.readStream.schema(inbox.schema).parquet(path)
+    """Three deliveries, each merged by a run of its own; the fourth run finds nothing new."""
+    inbox = stage(_intake(spark, folder), "intake")
+    path, root, progress = (work_dir(spark, name) for name in ("inbox", "store", "progress"))
     now = F.lit("2026-01-01 00:00:00").cast("timestamp_ntz")
-    running = intake.start_intake(stream, root, work_dir(spark, "progress"), now)
-    running.awaitTermination()
-    rows = intake.current_records(spark, root, intake.last_version(running))
-    return rows.select("file_hash", "filename", "invoice_number", "total_amount", "validation_status", "is_duplicate")
+    for part in ("ingest_seq = 1 AND doc_id % 2 = 0", "ingest_seq = 1 AND doc_id % 2 = 1", "ingest_seq = 2", None):
+        if part:
+            inbox.where(part).write.mode("append").parquet(path)
+        stream = spark.readStream.schema(inbox.schema).parquet(path)
+        intake.start_intake(stream, root, progress, now).awaitTermination()
+    return intake.current_records(spark, root).select("file_hash", "filename", "invoice_number", "total_amount", "validation_status", "is_duplicate")
 
 
 @query
 def stream_dedup(spark, folder):
-    inbox = _intake(spark, folder)
-    path = stage_path(inbox, "inbox")
-    out = work_dir(spark, "unique")
-    stream = spark.readStream.schema(inbox.schema).parquet(path).withColumn("received_at", F.col("received_at").cast("timestamp"))
-    running = (
-        intake.without_redeliveries(stream.select("doc_id", "file_hash", "received_at"), "50000 days")
-        .writeStream.format("parquet").option("path", out).option("checkpointLocation", work_dir(spark, "progress"))
-        .trigger(availableNow=True).start()
-    )
-    running.awaitTermination()
+    """Every text once; copies within the delay are dropped, copies after it are new.
+
+    Texts arrive in January, copies of every tenth five days later. Deliveries of May move the watermark on and are
+    themselves copies to drop; copies of another tenth that come after that find no state.
+    """
+    texts = invoice_text(spark, folder).select("doc_id", "key", "file_hash")
+    arrival = F.timestamp_add("DAY", F.pmod("key", F.lit(20)).cast("int"), F.lit("2026-01-01").cast("timestamp"))
+    texts = stage(texts.withColumn("received_at", arrival), "texts")
+
+    def again(tenth: int, days: int) -> DataFrame:
+        later = F.timestamp_add("DAY", F.lit(days), F.col("received_at"))
+        return texts.where(F.col("key") % 10 == tenth).withColumn("received_at", later)
+
+    path, out, progress = (work_dir(spark, name) for name in ("inbox", "unique", "progress"))
+    for delivery in (texts, again(0, 5), again(0, 120), again(1, 125)):
+        delivery.write.mode("append").parquet(path)
+        stream = spark.readStream.schema(texts.schema).parquet(path).select("doc_id", "file_hash", "received_at")
+        (intake.without_redeliveries(stream, "30 days").writeStream.format("parquet").option("path", out)
+         .option("checkpointLocation", progress).trigger(availableNow=True).start().awaitTermination())
     return spark.read.parquet(out).select("doc_id", "file_hash")

@@ -727,7 +727,7 @@ SELECT doc_id, pos, token, {stem('token')} AS term FROM u""",
         "stream_intake": _with(_STREAM, "SELECT file_hash, filename, invoice_number, total_amount, "
             "CASE WHEN len(errors) > 0 THEN 'FAILED' WHEN len(list_filter(warnings, lambda w: NOT starts_with(w, 'Duplicate'))) > 0 "
             "THEN 'WARNING' ELSE 'PASSED' END AS validation_status, is_duplicate FROM validated"),
-        "stream_dedup": _with(TEXTS, "SELECT doc_id, file_hash FROM texts"),
+        "stream_dedup": _with(TEXTS, "SELECT doc_id, file_hash FROM texts UNION ALL SELECT doc_id, file_hash FROM texts WHERE key % 10 = 1"),
     }
     return sql
 

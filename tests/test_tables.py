@@ -43,6 +43,10 @@ def test_exports_read_back(spark):
     assert all(p.startswith(b"\xef\xbb\xbf") for p in parts if p)
     text = b"".join(parts).decode("utf-8")
     assert "12345678.90" in text and "True" in text and '""x""' in text
+    schema = "id bigint, filename string, vendor_name string, total_amount string, is_duplicate string"
+    csv = export.read_csv_export(spark, paths["csv"], ", ".join(
+        f"`{c}` {dict(f.split() for f in schema.split(', ')).get(c, 'string')}" for c in export.export_view(rows).columns))
+    assert {(r["id"], r["vendor_name"]) for r in csv.collect()} == {(1, 'He said "x"\nnext'), (2, None)}
     back = spark.read.json(paths["json"])
     assert set(back.columns) == set(export.export_view(rows).columns)
     assert {r["filename"] for r in back.collect()} == {"a,b.jpg", "é.jpg"}
@@ -114,10 +118,66 @@ def test_index_update_equals_rebuild(spark, shop):
 
 
 def test_vendor_scan_is_exact(spark, shop):
-    asked = spark.createDataFrame([(1, "acme"), (2, "t"), (3, "WORK"), (4, "zzz"), (5, "acme")], "query_id bigint, vendor string")
+    asked = spark.createDataFrame([(1, "acme"), (2, "t"), (3, "WORK"), (4, "zzz"), (5, "acme"), (6, ""), (7, None)],
+                                  "query_id bigint, vendor string")
     got = {}
     for r in search.vendor_scan_batch(asked, shop, 4).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append(r["id"])
     rows = [(r["id"], r["vendor_name"].lower()) for r in shop.collect()]
-    want = {q: sorted(i for i, v in rows if t.lower() in v)[:4] for q, t in [(1, "acme"), (2, "t"), (3, "work"), (5, "acme")]}
+    want = {q: sorted(i for i, v in rows if t.lower() in v)[:4] for q, t in [(1, "acme"), (2, "t"), (3, "work"), (5, "acme"), (6, ""), (7, "")]}
     assert got == want
+
+
+def test_requests_without_words(spark, shop):
+    index = search.write_index(shop, work_dir(spark, "index"))
+    asked = spark.createDataFrame(
+        [(1, None, None, "USD", None, None, None, None), (2, "the of", None, None, None, None, 10.0, 20.0), (3, "", "", "", "en", "PASSED", None, None),
+         (4, None, None, None, None, None, None, None), (5, "bolt", None, "EUR", None, None, None, None), (6, None, None, "XXX", None, None, None, None)],
+        "query_id bigint, q string, vendor string, currency string, language string, validation_status string, min_amount double, max_amount double")
+    got = {}
+    for r in search.search_batch(asked, shop, index, 7).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["id"])
+    rows = shop.collect()
+    first = lambda test: sorted(r["id"] for r in rows if test(r))[:7]
+    assert got[1] == first(lambda r: r["currency"] == "USD")
+    assert got[2] == first(lambda r: r["total_amount"] is not None and 10 <= r["total_amount"] <= 20)
+    assert got[3] == got[4] == first(lambda r: True)
+    assert len(got[5]) == 7 and 6 not in got
+
+
+def test_a_written_index_is_read_once_per_use(spark, shop):
+    from test_catalog import plan_of
+
+    index = search.write_index(shop, work_dir(spark, "index"))
+    built = sorted(map(tuple, search.build_postings(shop).collect()))
+    assert sorted(map(tuple, index.postings.collect())) == built
+    asked = spark.createDataFrame([(1, "bolt number3")], "query_id bigint, q string").withColumn("vendor", F.lit(None).cast("string"))
+    assert "NestedLoop" not in plan_of(search.search_batch(asked, shop, index, 5))
+
+
+def test_store_replay_and_idle_restart(spark):
+    from ledgerloom.streaming import intake
+
+    def batch(names):
+        text = "Invoice No: {0}-1\nInvoice Date: 2024-03-01\nFrom: {0} Mill\nTotal: 10.00 USD"
+        rows = [(i, f"{n}.pdf", text.format(n), 1) for i, n in enumerate(names)]
+        df = spark.createDataFrame(rows, "doc_id bigint, filename string, text string, ingest_seq int")
+        return df.withColumn("file_hash", F.sha2("text", 256))
+
+    root, now = work_dir(spark, "store"), F.expr(NOW)
+    intake.open_store(spark, root)
+    assert intake.last_version(spark, root) == 0 and intake.current_records(spark, root).count() == 0
+    content = lambda: sorted((r["id"], r["filename"], r["invoice_number"]) for r in intake.current_records(spark, root).collect())
+    intake.merge_batch(batch(["ash", "elm"]), root, 0, now)
+    intake.merge_batch(batch(["oak"]), root, 1, now)
+    before = content()
+    assert [i for i, _, _ in before] == [1, 2, 3]
+    intake.merge_batch(batch(["oak"]), root, 1, now)  # delivered again
+    assert content() == before and intake.last_version(spark, root) == 2
+    intake.merge_batch(batch([]), root, 2, now)
+    assert content() == before and intake.last_version(spark, root) == 3
+    places, top = intake._places(spark, root, 3)
+    assert top == 3 and set(places.values()) == {1, 2}  # only touched buckets were written
+    # rows of a version without a manifest don't exist
+    spark.createDataFrame([], intake.ROW_SCHEMA).write.parquet(f"{root}/rows/version=9/bucket=0")
+    assert intake.last_version(spark, root) == 3
