@@ -178,6 +178,14 @@ def test_store_replay_and_idle_restart(spark):
     assert content() == before and intake.last_version(spark, root) == 3
     places, top = intake._places(spark, root, 3)
     assert top == 3 and set(places.values()) == {1, 2}  # only touched buckets were written
+    # the index follows the rows: new postings for each batch, the same as of a build over the whole table
+    from ledgerloom.operators.search import build_postings
+    again = batch(["elm", "yew"]).withColumn("filename", F.concat(F.lit("new-"), "filename"))
+    intake.merge_batch(again, root, 3, now)
+    index, whole = intake.current_index(spark, root), build_postings(intake.read_version(spark, root, 4))
+    rows_of = lambda df: sorted(map(tuple, df.select("field", "term", "doc_id", "tf", "len").collect()))
+    assert rows_of(index.postings) == rows_of(whole) and {d for _, t, d, _, _ in rows_of(whole) if t == "yew"} == {4}
+    assert index.stats.select("n_docs").distinct().first()[0] == 4
     # rows of a version without a manifest don't exist
     spark.createDataFrame([], intake.ROW_SCHEMA).write.parquet(f"{root}/rows/version=9/bucket=0")
-    assert intake.last_version(spark, root) == 3
+    assert intake.last_version(spark, root) == 4
