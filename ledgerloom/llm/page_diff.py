@@ -11,10 +11,10 @@ import re
 from collections.abc import Iterator
 from itertools import accumulate
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_rows
+from ledgerloom.llm.common import map_rows, written
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -188,32 +188,85 @@ class _Pending:
     """The last page of a run of pages, waiting for its next neighbour."""
 
     row: dict | None = None
-    parts: list[Block]
     shared: set[int]
+    first: bool = True
 
 
-def _result(p: _Pending) -> dict:
-    kept = [b.text for i, b in enumerate(p.parts)
-            if i not in p.shared or (b.inside and b.linked < LINK_SHARE * len(b.text))]
+_BLOCKS = "array<struct<text:string,inside:boolean,linked:bigint>>"
+_FIRST, _LAST = 1, 2
+
+
+def _parsed(row: dict) -> Iterator[dict]:
+    yield {**{k: row[k] for k in ("page_id", "url", "host", "path", "same")},
+           "blocks": [{"text": b.text, "inside": b.inside, "linked": b.linked} for b in blocks(row["html"])]}
+
+
+def _compared(a: dict, b: dict) -> list[tuple[int, int]]:
+    """Index pairs of the blocks that two neighbours have in common; none for other hosts' pages and for copies."""
+    if a["host"] is None or a["host"] != b["host"] or a["same"] == b["same"]:
+        return []
+    return common_lines([x["text"] for x in a["blocks"]], [x["text"] for x in b["blocks"]])
+
+
+def _result(row: dict, shared: set[int]) -> dict:
+    kept = [b["text"] for i, b in enumerate(row["blocks"])
+            if i not in shared or (b["inside"] and b["linked"] < LINK_SHARE * len(b["text"]))]
     text = "\n".join(kept)
-    return {"page_id": p.row["page_id"], "url": p.row["url"], "text": text, "n_chars": len(text),
-            "n_deleted": len(p.parts) - len(kept)}
+    return {"page_id": row["page_id"], "url": row["url"], "text": text, "n_chars": len(text),
+            "n_deleted": len(row["blocks"]) - len(kept)}
+
+
+def _out(last: _Pending, end: bool) -> Iterator[dict]:
+    """A page with both its neighbours in the task as a result; one at the task's edge as it is."""
+    edge = _FIRST * last.first + _LAST * end
+    if edge:
+        yield {**{k: last.row[k] for k in ("page_id", "url", "host", "same", "part", "blocks")}, "edge": edge,
+               "shared": sorted(last.shared)}
+    else:
+        yield {**_result(last.row, last.shared), "part": last.row["part"], "edge": 0}
 
 
 def _page(row: dict, last: _Pending) -> Iterator[dict]:
-    parts, shared = blocks(row["html"]), set()
+    shared = set()
     if last.row is not None:
-        if row["host"] is not None and row["host"] == last.row["host"] and row["html"] != last.row["html"]:
-            for i, j in common_lines([b.text for b in last.parts], [b.text for b in parts]):
-                last.shared.add(i)
-                shared.add(j)
-        yield _result(last)
-    last.row, last.parts, last.shared = row, parts, shared
+        for i, j in _compared(last.row, row):
+            last.shared.add(i)
+            shared.add(j)
+        yield from _out(last, end=False)
+        last.first = False
+    last.row, last.shared = row, shared
 
 
 def _finish(last: _Pending) -> Iterator[dict]:
     if last.row is not None:
-        yield _result(last)
+        yield from _out(last, end=True)
+
+
+def _edge_pair(row: dict) -> Iterator[dict]:
+    pairs = _compared(row["a"], row["b"])
+    for side, k in (("a", 0), ("b", 1)):
+        yield {"part": row[side]["part"], "edge": row[side]["edge"], "also": sorted({p[k] for p in pairs})}
+
+
+def _edge_results(edges: DataFrame) -> DataFrame:
+    """Results of the pages at the edges of tasks, at most two for each task: the last page of a task is compared with
+    the first one of the next task that has pages."""
+    # one row per task and only its number, so the window is short
+    parts = edges.select("part").distinct().withColumn("next", F.lead("part").over(Window.orderBy("part")))
+    whole = F.struct("part", "edge", "host", "same", "blocks")
+    last = edges.where(F.col("edge") >= _LAST).join(parts, "part").select(F.col("next").alias("at"), whole.alias("a"))
+    first = edges.where(F.col("edge") % _LAST == _FIRST).select(F.col("part").alias("at"), whole.alias("b"))
+    also = (map_rows(last.join(first, "at").select("a", "b"), _edge_pair, "part int, edge int, also array<int>")
+            .groupBy("part", "edge").agg(F.flatten(F.collect_list("also")).alias("also")))  # one or two lists
+
+    def each(row):
+        yield _result(row, {*row["shared"], *(row["also"] or ())})
+
+    rows = edges.join(also, ["part", "edge"], "left").select("page_id", "url", "blocks", "shared", "also")
+    return map_rows(rows, each, _RESULT)
+
+
+_RESULT = "page_id bigint, url string, text string, n_chars bigint, n_deleted bigint"
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -226,12 +279,20 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     A null or empty html has an empty text. A null url or one without a host has no neighbours. Repeated rows give
     repeated results and other columns are ignored; an empty table gives no rows. Pages are dealt by ranges of host and
-    path, with page_id last so that a host, or one address, may fill many tasks; the first page of a task isn't compared
-    with the last of the one before.
+    path, with page_id last so that a host, or one address, may fill many tasks; pages at the edges of tasks are compared
+    afterwards, so the result doesn't depend on the ranges.
     """
     host = F.nullif(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    rows = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
-    rows = rows.repartitionByRange("host", "path", "page_id").sortWithinPartitions("host", "path", "page_id")
-    return map_rows(rows.drop("path"), _page, "page_id bigint, url string, text string, n_chars bigint, n_deleted bigint",
-                    finish=_finish, setup=_Pending)
+    rows = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"),
+                        F.xxhash64("html").alias("same"))
+    parsed = written(map_rows(rows, _parsed, f"page_id bigint, url string, host string, path string, same bigint, "
+                                             f"blocks {_BLOCKS}"), "page-blocks")
+    order = ["host", "path", "page_id", "url", "same"]
+    ranged = (parsed.repartitionByRange(*order).sortWithinPartitions(*order)
+              .withColumn("part", F.spark_partition_id()))
+    compared = map_rows(ranged, _page, f"{_RESULT}, host string, same bigint, part int, edge int, blocks {_BLOCKS}, "
+                                       "shared array<int>", finish=_finish, setup=_Pending)
+    compared = written(compared, "page-texts")
+    inner = compared.where("edge = 0").select("page_id", "url", "text", "n_chars", "n_deleted")
+    return inner.unionByName(_edge_results(compared.where("edge > 0")))
