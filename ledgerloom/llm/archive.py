@@ -15,6 +15,8 @@ from ledgerloom.llm.common import written
 from ledgerloom.session import work_dir
 
 END = "\r\n"
+#: Pages say nothing of when they were fetched; a record must have a date.
+DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
@@ -40,7 +42,7 @@ class Archive:
         return self.spark.read.schema("page_id bigint, sha256 string, header string").parquet(self.header_path)
 
 
-def _header(first: Column) -> Column:
+def _header(first: Column, date: str) -> Column:
     """The header block of a record; a revisit carries no block of its own and names the record it repeats."""
     def line(name: str, value: Column) -> Column:
         return F.concat(F.lit(f"{name}: "), value, F.lit(END))
@@ -50,23 +52,24 @@ def _header(first: Column) -> Column:
         F.lit("WARC/1.1" + END),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
         line("WARC-Record-ID", F.concat(F.lit("<urn:page:"), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit(">"))),
+        line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", "")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         F.when(revisit, F.concat(
             line("WARC-Profile", F.lit(PROFILE)),
             line("WARC-Refers-To", F.concat(F.lit("<urn:page:"), first.cast("string"), F.lit(">"))),
-        )).otherwise(F.lit("")),
+        )).otherwise(line("Content-Type", F.lit("text/html"))),
         line("Content-Length", F.when(revisit, F.lit(0)).otherwise(F.col("bytes")).cast("string")),
         F.lit(END))
 
 
-def write_archive(pages: DataFrame, folder: str | None = None) -> Archive:
+def write_archive(pages: DataFrame, folder: str | None = None, date: str = DATE) -> Archive:
     """Writes one record per row of pages (page_id, url, html) and returns where they are.
 
     The payload is the html in UTF-8, a null html is an empty payload and a null url an empty target. Of equal
     payloads that with the smallest page_id is the response. Rows with the same page_id are kept as records of their
     own; with equal payloads they are all the response. Rows without a page_id are records without a name and are
-    always responses. An empty table gives two empty tables. Other columns of pages are not archived.
+    always responses. All records bear the given date. An empty table gives two empty tables. Other columns of pages are not archived.
 
     Only digests are grouped; payloads are shuffled once, to keep the row that each digest's smallest page has.
     """
@@ -83,7 +86,7 @@ def write_archive(pages: DataFrame, folder: str | None = None) -> Archive:
     # costs nothing for the other digests
     headers = named.join(first, "sha256")
     # without a page_id the comparison is null, which makes the record a response
-    headers.select("page_id", "sha256", _header(F.coalesce("first", F.lit(0))).alias("header")).write.parquet(
+    headers.select("page_id", "sha256", _header(F.coalesce("first", F.lit(0)), date).alias("header")).write.parquet(
         f"{folder}/headers")
     holder = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("sha256:"), F.col("sha256")))
     holders = first.select(F.coalesce(F.col("first").cast("string"), F.concat(F.lit("sha256:"), F.col("sha256")))

@@ -33,6 +33,7 @@ def test_records_come_back_byte_for_byte(spark):
         assert block == (b"" if revisit else body) + b"\r\n\r\n"
         assert f"Content-Length: {0 if revisit else len(body)}".encode() in head and head.count(b"WARC-Target-URI") == 1
         assert r["record_bytes"] == len(record)
+        assert all(head.count(f"\r\n{name}: ".encode()) == 1 for name in ("WARC-Type", "WARC-Record-ID", "WARC-Date"))
 
 
 def test_a_damaged_payload_is_noticed(spark):
