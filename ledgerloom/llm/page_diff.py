@@ -11,6 +11,7 @@ import re
 from collections.abc import Iterator
 from itertools import accumulate
 
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,38 +193,33 @@ class _Pending:
     first: bool = True
 
 
-_BLOCKS = "array<struct<text:string,inside:boolean,linked:bigint>>"
 _FIRST, _LAST = 1, 2
+_PAGE = "id string, key bigint, host string, same bigint, lines array<bigint>, open array<int>"
+_GONE = "id string, key bigint, gone array<int>"
+_RESULT = "page_id bigint, url string, text string, n_chars bigint, n_deleted bigint"
 
 
-def _parsed(row: dict) -> Iterator[dict]:
-    yield {**{k: row[k] for k in ("page_id", "url", "host", "path", "same")},
-           "blocks": [{"text": b.text, "inside": b.inside, "linked": b.linked} for b in blocks(row["html"])]}
+def _lines(row: dict) -> Iterator[dict]:
+    """A page as hashes of its blocks and the indexes of those that may be deleted."""
+    parts = blocks(row["html"])
+    yield {**{k: row[k] for k in ("id", "key", "host", "path", "same")},
+           "lines": [xxhash.xxh3_64_intdigest(b.text.encode("utf-8", "surrogatepass")) - (1 << 63) for b in parts],
+           "open": [i for i, b in enumerate(parts) if not b.inside or b.linked >= LINK_SHARE * len(b.text)]}
 
 
 def _compared(a: dict, b: dict) -> list[tuple[int, int]]:
     """Index pairs of the blocks that two neighbours have in common; none for other hosts' pages and for copies."""
-    if a["host"] is None or a["host"] != b["host"] or a["same"] == b["same"]:
-        return []
-    return common_lines([x["text"] for x in a["blocks"]], [x["text"] for x in b["blocks"]])
-
-
-def _result(row: dict, shared: set[int]) -> dict:
-    kept = [b["text"] for i, b in enumerate(row["blocks"])
-            if i not in shared or (b["inside"] and b["linked"] < LINK_SHARE * len(b["text"]))]
-    text = "\n".join(kept)
-    return {"page_id": row["page_id"], "url": row["url"], "text": text, "n_chars": len(text),
-            "n_deleted": len(row["blocks"]) - len(kept)}
+    return [] if a["host"] != b["host"] or a["same"] == b["same"] else common_lines(a["lines"], b["lines"])
 
 
 def _out(last: _Pending, end: bool) -> Iterator[dict]:
-    """A page with both its neighbours in the task as a result; one at the task's edge as it is."""
+    """What goes of a page with both its neighbours in the task; a page at the task's edge goes on as it is."""
     edge = _FIRST * last.first + _LAST * end
+    gone = sorted(last.shared.intersection(last.row["open"]))
     if edge:
-        yield {**{k: last.row[k] for k in ("page_id", "url", "host", "same", "part", "blocks")}, "edge": edge,
-               "shared": sorted(last.shared)}
-    else:
-        yield {**_result(last.row, last.shared), "part": last.row["part"], "edge": 0}
+        yield {**last.row, "edge": edge, "gone": gone}
+    elif gone:
+        yield {**{k: last.row[k] for k in ("id", "key", "part")}, "edge": edge, "gone": gone}
 
 
 def _page(row: dict, last: _Pending) -> Iterator[dict]:
@@ -245,28 +241,33 @@ def _finish(last: _Pending) -> Iterator[dict]:
 def _edge_pair(row: dict) -> Iterator[dict]:
     pairs = _compared(row["a"], row["b"])
     for side, k in (("a", 0), ("b", 1)):
-        yield {"part": row[side]["part"], "edge": row[side]["edge"], "also": sorted({p[k] for p in pairs})}
+        page = row[side]
+        yield {"id": page["id"], "key": page["key"], "gone": sorted({p[k] for p in pairs}.intersection(page["open"]))}
 
 
-def _edge_results(edges: DataFrame) -> DataFrame:
-    """Results of the pages at the edges of tasks, at most two for each task: the last page of a task is compared with
-    the first one of the next task that has pages."""
+def _gone_at_edges(edges: DataFrame) -> DataFrame:
+    """id, key, gone from comparing the last page of each task with the first of the next task that has pages."""
     # one row per task and only its number, so the window is short
     parts = edges.select("part").distinct().withColumn("next", F.lead("part").over(Window.orderBy("part")))
-    whole = F.struct("part", "edge", "host", "same", "blocks")
-    last = edges.where(F.col("edge") >= _LAST).join(parts, "part").select(F.col("next").alias("at"), whole.alias("a"))
-    first = edges.where(F.col("edge") % _LAST == _FIRST).select(F.col("part").alias("at"), whole.alias("b"))
-    also = (map_rows(last.join(first, "at").select("a", "b"), _edge_pair, "part int, edge int, also array<int>")
-            .groupBy("part", "edge").agg(F.flatten(F.collect_list("also")).alias("also")))  # one or two lists
-
-    def each(row):
-        yield _result(row, {*row["shared"], *(row["also"] or ())})
-
-    rows = edges.join(also, ["part", "edge"], "left").select("page_id", "url", "blocks", "shared", "also")
-    return map_rows(rows, each, _RESULT)
-
-
-_RESULT = "page_id bigint, url string, text string, n_chars bigint, n_deleted bigint"
+    page = F.struct("id", "key", "host", "same", "lines", "open")
+    last = edges.where(F.col("edge") >= _LAST).join(parts, "part").select(F.col("next").alias("at"), page.alias("a"))
+    first = edges.where(F.col("edge") % _LAST == _FIRST).select(F.col("part").alias("at"), page.alias("b"))
+    return map_rows(last.join(first, "at").select("a", "b"), _edge_pair, _GONE)
+
+
+def shared_blocks(pages: DataFrame) -> DataFrame:
+    """id, key, gone (indexes of blocks) of the pages that lose blocks to a neighbour; only hashes are shuffled."""
+    rows = map_rows(pages.where("host IS NOT NULL"), _lines, f"{_PAGE}, path string")
+    order = ["host", "path", "page", "id", "key"]
+    rows = written(rows.withColumn("page", F.col("id").try_cast("bigint")), "page-lines")
+    ranged = (rows.repartitionByRange(*order).sortWithinPartitions(*order)
+              .drop("path", "page").withColumn("part", F.spark_partition_id()))
+    compared = written(map_rows(ranged, _page, f"{_PAGE}, part int, edge int, gone array<int>", finish=_finish,
+                                setup=_Pending), "page-neighbours")
+    gone = compared.select("id", "key", "gone").unionByName(_gone_at_edges(compared.where("edge > 0")))
+    # a page, or a run of repeated rows, has two neighbours: at most four lists
+    return written(gone.where(F.size("gone") > 0).groupBy("id", "key").agg(
+        F.flatten(F.collect_list("gone")).alias("gone")), "page-shared")
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
@@ -281,18 +282,19 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     repeated results and other columns are ignored; an empty table gives no rows. Pages are dealt by ranges of host and
     path, with page_id last so that a host, or one address, may fill many tasks; pages at the edges of tasks are compared
     afterwards, so the result doesn't depend on the ranges.
+
+    Neighbours are found on hashes of blocks; what goes is then joined to the pages, which are read twice.
     """
     host = F.nullif(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    rows = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"),
-                        F.xxhash64("html").alias("same"))
-    parsed = written(map_rows(rows, _parsed, f"page_id bigint, url string, host string, path string, same bigint, "
-                                             f"blocks {_BLOCKS}"), "page-blocks")
-    order = ["host", "path", "page_id", "url", "same"]
-    ranged = (parsed.repartitionByRange(*order).sortWithinPartitions(*order)
-              .withColumn("part", F.spark_partition_id()))
-    compared = map_rows(ranged, _page, f"{_RESULT}, host string, same bigint, part int, edge int, blocks {_BLOCKS}, "
-                                       "shared array<int>", finish=_finish, setup=_Pending)
-    compared = written(compared, "page-texts")
-    inner = compared.where("edge = 0").select("page_id", "url", "text", "n_chars", "n_deleted")
-    return inner.unionByName(_edge_results(compared.where("edge > 0")))
+    rows = pages.select("page_id", "url", "html", F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("id"),
+                        F.xxhash64("url", "html").alias("key"))
+    gone = shared_blocks(rows.select("id", "key", "html", host.alias("host"), path.alias("path"),
+                                     F.xxhash64("html").alias("same")))
+
+    def each(row):
+        parts, out = blocks(row["html"]), set(row["gone"] or ())
+        text = "\n".join(b.text for i, b in enumerate(parts) if i not in out)
+        yield {"page_id": row["page_id"], "url": row["url"], "text": text, "n_chars": len(text), "n_deleted": len(out)}
+
+    return map_rows(rows.join(gone, ["id", "key"], "left").select("page_id", "url", "html", "gone"), each, _RESULT)
