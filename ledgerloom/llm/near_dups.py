@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import sketch
-from ledgerloom.llm.common import map_rows, written
+from ledgerloom.llm.common import hot_join, map_rows, written
 
 #: Pairs of a bucket are compared in blocks of so many members; a larger bucket is several blocks.
 BLOCK = 1024
@@ -231,7 +231,9 @@ def link_near_duplicates(docs: DataFrame) -> DataFrame:
         named = of.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         keys = (named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"))
                 .where("low != high").select("key"))
-        return named.join(keys, "key").select("key", "id", "size", "component").join(nodes, "id")
+        # a bucket of near copies may hold a large share of the rows
+        named = hot_join(named, keys, ["key"], "id")
+        return named.select("key", "id", "size", "component").join(nodes, "id")
 
     pairs = written(_named_partners(open_members(shared)), "dup-pairs")
     more = written(_confirmed(pairs.groupBy("a", "b").agg(F.lit(1)).select("a", "b"), texts), "dup-links")
