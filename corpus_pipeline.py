@@ -12,18 +12,14 @@ from ledgerloom.llm.common import written
 from ledgerloom.sources.tables import table
 
 
-def _rows_of(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """Rows of docs whose (doc_id, hash of the text) is in keys; a null doc_id is a value like others."""
-    key = [F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("__id"), F.col("text_hash").alias("__hash")]
-    keys = keys.select(*key)
-    return (docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-            .withColumn("__hash", F.xxhash64("text")).join(keys, ["__id", "__hash"], "left_semi")
-            .drop("__id", "__hash"))
+def _measured(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """docs with n_chars after a change of the texts."""
+    return docs.withColumn("n_chars", F.length("text").cast("bigint")).select(columns)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the base rules or are mostly their host's repeated lines go."""
-    return _rows_of(docs, line_rules.judge_quality(docs).where("kept").select("doc_id", "text_hash"))
+    """Documents that fail the base rules or are mostly their host's repeated lines go, and those lines of the others."""
+    return _measured(line_rules.clean_documents(docs), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +36,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data in texts is replaced by its kind; n_chars follows."""
-    masked = private.mask_private(docs)
-    return masked.withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    return _measured(private.mask_private(docs), docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

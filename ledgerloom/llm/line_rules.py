@@ -81,17 +81,22 @@ def boilerplate(measured: DataFrame, line_documents: int, line_share: float) ->
             .select("host", "key", "n"))
 
 
-def judge_quality(docs: DataFrame, host: Column | None = None, line_documents: int = LINE_DOCUMENTS,
-                  line_share: float = LINE_SHARE, depleted_share: float = DEPLETED_SHARE) -> DataFrame:
-    """One row per row of docs: doc_id, text_hash, the base figures, n_removed_words, kept.
+def without_lines(text: str | None, gone: list[int] | None) -> str | None:
+    """The text without the lines whose keys are in gone; the other lines stay as they are."""
+    if not text or not gone:
+        return text
+    keys = set(gone)
+    return "\n".join(line for line in text.split("\n") if line_key(line) not in keys)
 
-    Lines are counted per host (default: the column source) by distinct texts that have them. A document is kept if its
-    base figures pass and at most depleted_share of its words are in lines above the limits. A null text is a text
-    without words, a null host is a host, rows without a doc_id and repeated rows are judged like others, other columns
-    are ignored, and an empty table gives no rows.
-    """
-    name = F.coalesce((host if host is not None else F.col("source")).cast("string"), F.lit("\0"))
-    rows = docs.select("doc_id", "text", name.alias("host"), F.xxhash64("text").alias("text_hash"))
+
+def _host(host: Column | None) -> Column:
+    return F.coalesce((host if host is not None else F.col("source")).cast("string"), F.lit("\0"))
+
+
+def _judged(docs: DataFrame, host: Column | None, line_documents: int, line_share: float,
+            depleted_share: float) -> DataFrame:
+    """The columns of judge_quality with host and gone, the keys of the row's lines above the limits."""
+    rows = docs.select("doc_id", "text", _host(host).alias("host"), F.xxhash64("text").alias("text_hash"))
 
     def each(row):
         yield {"doc_id": row["doc_id"], "host": row["host"], "text_hash": row["text_hash"], **measures(row["text"])}
@@ -101,10 +106,45 @@ def judge_quality(docs: DataFrame, host: Column | None = None, line_documents: i
     common = written(boilerplate(measured, line_documents, line_share), "line-boilerplate")
     lines = measured.select("row_id", "host", F.explode("lines").alias("line")).select("row_id", "host", "line.*")
     removed = (hot_join(lines, common.select("host", "key"), ["host", "key"], "row_id")
-               .groupBy("row_id").agg(F.sum("n").alias("removed")))
+               .groupBy("row_id").agg(F.sum("n").alias("removed"), F.collect_list("key").alias("gone")))
     judged = measured.drop("lines").join(removed, "row_id", "left")
-    gone = F.coalesce("removed", F.lit(0)).cast("bigint")
+    n = F.coalesce("removed", F.lit(0)).cast("bigint")
     return judged.select(
         "doc_id", "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        gone.alias("n_removed_words"),
-        (~F.col("base_failed") & (gone <= depleted_share * F.col("n_words"))).alias("kept"))
+        n.alias("n_removed_words"),
+        (~F.col("base_failed") & (n <= depleted_share * F.col("n_words"))).alias("kept"), "host", "gone")
+
+
+def judge_quality(docs: DataFrame, host: Column | None = None, line_documents: int = LINE_DOCUMENTS,
+                  line_share: float = LINE_SHARE, depleted_share: float = DEPLETED_SHARE) -> DataFrame:
+    """One row per row of docs: doc_id, text_hash, the base figures, n_removed_words, kept.
+
+    Lines are counted per host (default: the column source) by distinct texts that have them. A document is kept if its
+    base figures pass and at most depleted_share of its words are in lines above the limits. A null text is a text
+    without words, a null host is a host, rows without a doc_id and repeated rows are judged like others, other columns
+    are ignored, and an empty table gives no rows.
+    """
+    return _judged(docs, host, line_documents, line_share, depleted_share).drop("host", "gone")
+
+
+def clean_documents(docs: DataFrame, host: Column | None = None, line_documents: int = LINE_DOCUMENTS,
+                    line_share: float = LINE_SHARE, depleted_share: float = DEPLETED_SHARE) -> DataFrame:
+    """The rows of docs that judge_quality keeps, their texts without the host's lines above the limits.
+
+    All columns stay; only text changes. The keys come back to a row by doc_id, host and hash of the text, on which both
+    the verdict and the lines depend, so repeated rows stay repeated.
+    """
+    judged = _judged(docs, host, line_documents, line_share, depleted_share).where("kept")
+    keys = judged.select("doc_id", "host", "text_hash", "gone").dropDuplicates(["doc_id", "host", "text_hash"])
+    columns, schema = docs.columns, docs.schema
+    left = docs.withColumn("__host", _host(host)).withColumn("__hash", F.xxhash64("text")).alias("d")
+    joined = left.join(keys.alias("x"), F.col("d.doc_id").eqNullSafe(F.col("x.doc_id")) &
+                       (F.col("d.__host") == F.col("x.host")) & (F.col("d.__hash") == F.col("x.text_hash")))
+    joined = joined.select(*[F.col(f"d.`{c}`") for c in columns], F.col("x.gone").alias("__gone"))
+
+    def each(row):
+        gone = row.pop("__gone")
+        row["text"] = without_lines(row["text"], gone)
+        yield row
+
+    return map_rows(joined, each, schema)

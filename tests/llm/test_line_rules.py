@@ -1,4 +1,5 @@
-from ledgerloom.llm.line_rules import judge_quality, measures
+import corpus_pipeline
+from ledgerloom.llm.line_rules import clean_documents, judge_quality, measures
 
 
 def test_base_figures():
@@ -27,3 +28,21 @@ def test_host_lines(docs_of, prose):
     assert all((200 + i, True) in kept for i in range(60))
     assert {(300, True), (301, False), (302, False), (None, True), (303, False)} <= kept
     assert judge_quality(docs_of([])).count() == 0
+
+
+def test_host_lines_go_from_texts(spark, docs_of, prose):
+    notice = "All rights reserved, 2019: " + prose(10, 7)
+    other = notice.upper().replace("2019", "7") + "!"  # the same line once levelled
+    own = {i: f"{prose(40, 100 + i)}\n\n{prose(40, 200 + i)}" for i in range(40)}
+    rows = [(i, f"{other if i % 2 else notice}\n{own[i]}\n{notice}", "h") for i in range(40)]
+    rows += [(50, f"{notice}\n{prose(60, 1)}", "elsewhere"), (51, notice, "h"), (52, None, "h"), (None, rows[3][1], "h"),
+             (4, rows[4][1], "h"), (4, rows[4][1], "elsewhere")]
+    wanted = [(i, own[i]) for i in range(40)] + [(50, rows[40][1]), (None, own[3]), (4, own[4]), (4, rows[4][1])]
+    docs = docs_of(rows, "key host gone kept")
+    order = lambda r: (str(r[0]), r[1])
+    got = clean_documents(docs)
+    assert got.columns == docs.columns and {r["gone"] for r in got.collect()} == {"clash"}
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=order) == sorted(wanted, key=order)
+    stage = corpus_pipeline.quality(spark, docs, "").collect()
+    assert sorted(((r["doc_id"], r["text"]) for r in stage), key=order) == sorted(wanted, key=order)
+    assert all(r["n_chars"] == len(r["text"]) for r in stage)
