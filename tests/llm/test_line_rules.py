@@ -46,3 +46,16 @@ def test_host_lines_go_from_texts(spark, docs_of, prose):
     stage = corpus_pipeline.quality(spark, docs, "").collect()
     assert sorted(((r["doc_id"], r["text"]) for r in stage), key=order) == sorted(wanted, key=order)
     assert all(r["n_chars"] == len(r["text"]) for r in stage)
+
+
+def test_large_hosts_and_words_left(docs_of, prose):
+    notice, short = prose(12, 7), prose(45, 8)
+    rows = [(i, f"{prose(60, 1000 + i)}\n{notice}" if i < 30 else prose(70, 1000 + i), "h") for i in range(700)]
+    rows += [(1000 + i, f"{prose(60 if i % 2 else 15, 9000 + i)}\n{short}", "k") for i in range(30)]  # 15 of 60 words left
+    docs = docs_of(rows)
+    got = {r["doc_id"]: r["text"] for r in clean_documents(docs, line_always=25).collect()}
+    assert all(got[i] == rows[i][1].split("\n")[0] for i in range(700))
+    by_share = {r["doc_id"]: r["text"] for r in clean_documents(docs, line_always=30).collect()}
+    assert all(by_share[i] == rows[i][1] for i in range(700))  # in 30 texts: not over 30, and not 5 % of 700
+    assert {i for i in got if i >= 1000} == {1000 + i for i in range(1, 30, 2)}
+    assert all(r["kept"] for r in judge_quality(docs).collect())  # the query's own rule
