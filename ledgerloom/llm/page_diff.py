@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import map_rows, written
+from ledgerloom.llm.common import hot_join, map_rows, written
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -194,8 +194,8 @@ class _Pending:
 
 
 _FIRST, _LAST = 1, 2
-_PAGE = "id string, key bigint, host string, same bigint, lines array<bigint>, open array<int>"
-_GONE = "id string, key bigint, gone array<int>"
+_PAGE = "host string, same bigint, lines array<bigint>, open array<int>"
+_GONE = "host string, same bigint, gone array<int>"
 _RESULT = "page_id bigint, url string, text string, n_chars bigint, n_deleted bigint"
 
 
@@ -208,8 +208,8 @@ def _lines(row: dict) -> Iterator[dict]:
 
 
 def _compared(a: dict, b: dict) -> list[tuple[int, int]]:
-    """Index pairs of the blocks that two neighbours have in common; none for other hosts' pages and for copies."""
-    return [] if a["host"] != b["host"] or a["same"] == b["same"] else common_lines(a["lines"], b["lines"])
+    """Index pairs of the blocks that two neighbours have in common; none for other hosts' pages."""
+    return [] if a["host"] != b["host"] else common_lines(a["lines"], b["lines"])
 
 
 def _out(last: _Pending, end: bool) -> Iterator[dict]:
@@ -219,7 +219,7 @@ def _out(last: _Pending, end: bool) -> Iterator[dict]:
     if edge:
         yield {**last.row, "edge": edge, "gone": gone}
     elif gone:
-        yield {**{k: last.row[k] for k in ("id", "key", "part")}, "edge": edge, "gone": gone}
+        yield {**{k: last.row[k] for k in ("host", "same", "part")}, "edge": edge, "gone": gone}
 
 
 def _page(row: dict, last: _Pending) -> Iterator[dict]:
@@ -242,31 +242,42 @@ def _edge_pair(row: dict) -> Iterator[dict]:
     pairs = _compared(row["a"], row["b"])
     for side, k in (("a", 0), ("b", 1)):
         page = row[side]
-        yield {"id": page["id"], "key": page["key"], "gone": sorted({p[k] for p in pairs}.intersection(page["open"]))}
+        yield {"host": page["host"], "same": page["same"], "gone": sorted({p[k] for p in pairs}.intersection(page["open"]))}
 
 
 def _gone_at_edges(edges: DataFrame) -> DataFrame:
-    """id, key, gone from comparing the last page of each task with the first of the next task that has pages."""
+    """host, same, gone from comparing the last page of each task with the first of the next task that has pages."""
     # one row per task and only its number, so the window is short
     parts = edges.select("part").distinct().withColumn("next", F.lead("part").over(Window.orderBy("part")))
-    page = F.struct("id", "key", "host", "same", "lines", "open")
+    page = F.struct("host", "same", "lines", "open")
     last = edges.where(F.col("edge") >= _LAST).join(parts, "part").select(F.col("next").alias("at"), page.alias("a"))
     first = edges.where(F.col("edge") % _LAST == _FIRST).select(F.col("part").alias("at"), page.alias("b"))
     return map_rows(last.join(first, "at").select("a", "b"), _edge_pair, _GONE)
 
 
 def shared_blocks(pages: DataFrame) -> DataFrame:
-    """id, key, gone (indexes of blocks) of the pages that lose blocks to a neighbour; only hashes are shuffled."""
-    rows = map_rows(pages.where("host IS NOT NULL"), _lines, f"{_PAGE}, path string")
-    order = ["host", "path", "page", "id", "key"]
+    """host, same, gone (indexes of blocks) of the html that loses blocks to a neighbour; only hashes are shuffled.
+
+    Equal html of a host is one page, at its first place in the order, so neighbours always differ. Pages without a block
+    have nothing to lose and stay where they are.
+    """
+    rows = map_rows(pages.where("host IS NOT NULL"), _lines,
+                    "id string, key bigint, host string, path string, same bigint, lines array<bigint>, open array<int>")
     rows = written(rows.withColumn("page", F.col("id").try_cast("bigint")), "page-lines")
-    ranged = (rows.repartitionByRange(*order).sortWithinPartitions(*order)
-              .drop("path", "page").withColumn("part", F.spark_partition_id()))
+    # equal html has equal blocks, so any row's lists will do
+    place = F.struct("path", "page", "id", "key")
+    alone = F.when(F.size("lines") == 0, F.struct("id", "key"))
+    distinct = rows.groupBy("host", "same", alone.alias("alone")).agg(
+        F.min(place).alias("at"), F.first("lines").alias("lines"), F.first("open").alias("open"))
+    rows = written(distinct, "page-distinct")
+    order = ["host", "path", "page", "id", "key"]
+    ranged = (rows.select("host", "same", "lines", "open", "at.*").repartitionByRange(*order)
+              .sortWithinPartitions(*order).drop(*order[1:]).withColumn("part", F.spark_partition_id()))
     compared = written(map_rows(ranged, _page, f"{_PAGE}, part int, edge int, gone array<int>", finish=_finish,
                                 setup=_Pending), "page-neighbours")
-    gone = compared.select("id", "key", "gone").unionByName(_gone_at_edges(compared.where("edge > 0")))
-    # a page, or a run of repeated rows, has two neighbours: at most four lists
-    return written(gone.where(F.size("gone") > 0).groupBy("id", "key").agg(
+    gone = compared.select("host", "same", "gone").unionByName(_gone_at_edges(compared.where("edge > 0")))
+    # a page has two neighbours, so at most three lists
+    return written(gone.where(F.size("gone") > 0).groupBy("host", "same").agg(
         F.flatten(F.collect_list("gone")).alias("gone")), "page-shared")
 
 
@@ -276,7 +287,8 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     Blocks in page order, joined by line feeds; white space in a block becomes single blanks. If a page marks an article
     (or main part), only that is read. Of the blocks outside menus, headers, footers, adverts and the like, those that
     a neighbour on the same host has too are deleted; inside a marked article only if they are mostly links, since an
-    article may quote another. Pages with equal html aren't compared: a copy has nothing of its own.
+    article may quote another. Pages of a host with equal html are compared once, at the first of their addresses, with the
+    nearest different pages, and have equal texts: a copy doesn't count as a neighbour. Pages without blocks do.
 
     A null or empty html has an empty text. A null url or one without a host has no neighbours. Repeated rows give
     repeated results and other columns are ignored; an empty table gives no rows. Pages are dealt by ranges of host and
@@ -288,13 +300,14 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     host = F.nullif(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     path = F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     rows = pages.select("page_id", "url", "html", F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("id"),
-                        F.xxhash64("url", "html").alias("key"))
-    gone = shared_blocks(rows.select("id", "key", "html", host.alias("host"), path.alias("path"),
-                                     F.xxhash64("html").alias("same")))
+                        F.xxhash64("url", "html").alias("key"), host.alias("host"), path.alias("path"),
+                        F.xxhash64("html").alias("same"))
+    gone = shared_blocks(rows.drop("page_id", "url"))
 
     def each(row):
         parts, out = blocks(row["html"]), set(row["gone"] or ())
         text = "\n".join(b.text for i, b in enumerate(parts) if i not in out)
         yield {"page_id": row["page_id"], "url": row["url"], "text": text, "n_chars": len(text), "n_deleted": len(out)}
 
-    return map_rows(rows.join(gone, ["id", "key"], "left").select("page_id", "url", "html", "gone"), each, _RESULT)
+    joined = hot_join(rows, gone, ["host", "same"], F.struct("id", "key"), "left")
+    return map_rows(joined.select("page_id", "url", "html", "gone"), each, _RESULT)

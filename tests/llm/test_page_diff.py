@@ -80,3 +80,15 @@ def test_tasks_do_not_matter(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
         spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+
+def test_equal_pages(spark):
+    """Copies, in a run and at mirrored paths, are one page: all of them lose what the nearest different pages have."""
+    page = "<div><p>Site notice</p><p>Own {0}</p><p>{1}</p></div>"
+    rows = [(0, "http://h.org/a", page.format(0, "Top")), *((i, f"http://h.org/b?q={i}", page.format("b", "Top")) for i in range(1, 6)),
+            (6, "http://h.org/c", page.format(6, "End")), (7, "http://h.org/m/b", page.format("b", "Top")),
+            (8, "http://h.org/m/d", page.format(8, "End")), (9, "http://alone.org/b", page.format("b", "Top")), (10, None, page.format("b", "Top"))]
+    wanted = {0: "Own 0", **{i: "Own b" for i in (1, 2, 3, 4, 5, 7)}, 6: "Own 6", 8: "Own 8",
+              9: "Site notice\nOwn b\nTop", 10: "Site notice\nOwn b\nTop"}
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    assert {r["page_id"]: r["text"] for r in extract_main_text(df).collect()} == wanted
