@@ -48,3 +48,24 @@ def test_odd_tables(spark):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, FOLDER)
         assert docs.count() <= len(rows)
+
+
+def test_exact_rows_of_first_stages(spark):
+    docs = corpus_pipeline.table(spark, FOLDER, "documents")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    good = [r for r in docs.collect() if not measures(r["text"])["base_failed"]]  # no line is above the limits here
+    assert rows(corpus_pipeline.quality(spark, docs, FOLDER)) == sorted(map(tuple, good))
+
+
+def test_texts_that_share_an_id(spark, docs_of, prose):
+    a, b, c = prose(80, 1), prose(80, 2), prose(80, 3)
+    rows = [(1, a), (2, b), (2, c), (2, c), (3, c + " more"), (4, a), (None, a), (5, a, "t"), (5, prose(70, 5), "u")]
+    stage = lambda rows: sorted((str(r["doc_id"]), r["text"], r["source"]) for r in corpus_pipeline.near_duplicates(
+        spark, docs_of(rows), "").collect())
+    got = stage(rows)
+    assert sorted(x for x in got if "more" not in x[1] and x[1] != c) == sorted(
+        [("1", a, "s"), ("2", b, "s"), ("None", a, "s"), ("5", prose(70, 5), "u")])
+    assert len([x for x in got if x[1].startswith(c)]) == 1  # of doc 2's second text and doc 3's, which are linked
+    assert stage(rows[::-1]) == got
+    twice = [(1, a, "x"), (1, a, "y")]
+    assert stage(twice) == stage(twice[::-1]) and len(stage(twice)) == 1
