@@ -86,3 +86,19 @@ def hot_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str | C
     left = left.withColumn("__salt", salt)
     right = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return left.join(right, [*keys, "__salt"], how).drop("__salt")
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], spread: str | Column, how: str = "inner",
+              share: int = 1024, salts: int = 64) -> DataFrame:
+    """Equi-join that salts just the keys with more than a `share`-th of the left rows, of which there are fewer than that.
+
+    left is read twice; right keys are unique or few per key, keys must not be null.
+    """
+    least = max(1000, left.count() // share)
+    hot = left.groupBy(*keys).count().where(F.col("count") > least).select(*keys)
+    hot = F.broadcast(hot.withColumn("__hot", F.lit(True)))  # fewer than `share` rows
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(0)
+    last = F.when(F.col("__hot"), F.lit(salts - 1)).otherwise(0)
+    left = left.join(hot, keys, "left").withColumn("__salt", salt).drop("__hot")
+    right = right.join(hot, keys, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), last))).drop("__hot")
+    return left.join(right, [*keys, "__salt"], how).drop("__salt")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import (archive, classifier, decontaminate, licences, line_rules, mixing, near_dups, page_diff,
-                            private, tokens)
+from ledgerloom.llm import (adaptive_scan, archive, classifier, collocations, decontaminate, licences, line_rules, mixing,
+                            near_dups, page_diff, private, tokens, zone_maps)
 from ledgerloom.llm.sql import SQL
 from ledgerloom.sources.tables import table
 
@@ -58,6 +58,18 @@ def op10_quality_scores(spark: SparkSession, folder: str) -> DataFrame:
     return classifier.score_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_nearest_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return adaptive_scan.nearest_vectors(table(spark, folder, "embeddings"))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, folder, "documents"))
+
+
+def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return zone_maps.cluster_vectors(table(spark, folder, "embeddings"))
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
 
@@ -67,7 +79,8 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     run.__name__: run for run in (
         op1_warc_archive, op2_licence_rules, op3_benchmark_passages, op4_source_mix, op5_personal_data, op6_line_rules,
-        op7_page_text, op8_near_duplicates, op9_token_counts, op10_quality_scores, pipeline)}
+        op7_page_text, op8_near_duplicates, op9_token_counts, op10_quality_scores, op11_nearest_vectors, op12_collocations,
+        op13_centroid_clusters, pipeline)}
 
 
 def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.llm import licences, line_rules, mixing
+from ledgerloom.llm import collocations, licences, line_rules, mixing, zone_maps
 from ledgerloom.llm.common import WORD
 
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -126,5 +126,59 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 FROM documents LEFT JOIN n USING (doc_id) JOIN c USING (doc_id)
 """
 
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+OP12 = f"""
+WITH d AS (SELECT coalesce(lang, '{collocations.NO_LANGUAGE}') AS lang,
+                  translate(coalesce(text, ''), '{_LETTERS}', '{_LETTERS.lower()}') AS t FROM documents),
+p AS (SELECT lang, regexp_extract_all(unnest(regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]')), '[^\\x20\\x09]+') AS ws FROM d),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM p GROUP BY lang),
+g AS (SELECT lang, size, array_to_string(ws[i:i + size - 1], ' ') AS phrase
+      FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i
+            FROM p, range(1, {collocations.LONGEST + 1}) v(size) WHERE len(ws) >= size)),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= {collocations.LEAST_COUNT}),
+c AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE size > 1),
+cuts AS (SELECT c.*, unnest(range(1, size)) AS k FROM c),
+s AS (SELECT x.lang, x.phrase, a, k, l.f AS l, r.f AS r, ({collocations.SCORE_SCALE}::HUGEINT * a) // (l.f + r.f) AS score
+      FROM cuts x JOIN f l ON l.lang = x.lang AND l.phrase = array_to_string(w[1:k], ' ')
+      JOIN f r ON r.lang = x.lang AND r.phrase = array_to_string(w[k + 1:], ' ')),
+best AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, a
+           FROM (SELECT lang, w, a, n, unnest(range(1, size - n + 2)) AS i FROM (SELECT c.*, unnest(range(2, size)) AS n FROM c))),
+around AS (SELECT lang, phrase, max(a) AS around FROM inside GROUP BY ALL),
+ranked AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank
+           FROM best b LEFT JOIN around USING (lang, phrase)
+           WHERE around IS NULL OR 100 * around < {collocations.INSIDE_PERCENT} * a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang)
+WHERE rank <= {collocations.REPORTED}
+"""
+
+
+def _op13() -> str:
+    def assigned(i: int) -> str:
+        return f"""a{i} AS MATERIALIZED (SELECT r, c, d FROM (SELECT r, c, list_sum(list_transform(list_zip(v, m),
+            lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{i})
+            QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, c) = 1)"""
+
+    def moved(i: int) -> str:
+        return f"""s{i} AS (SELECT c, pos, sum(v[pos]) AS s, count(*) AS n FROM a{i} JOIN v USING (r), range(1, {zone_maps.DIM + 1}) p(pos)
+            GROUP BY c, pos),
+        c{i + 1} AS MATERIALIZED (SELECT c, coalesce(t.m, o.m) AS m FROM c{i} o LEFT JOIN (SELECT c,
+            list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY pos) AS m FROM s{i} GROUP BY c) t USING (c))"""
+
+    rounds = ", ".join(f"{assigned(i)}, {moved(i)}" for i in range(zone_maps.ROUNDS))
+    last = zone_maps.ROUNDS
+    return f"""
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id,
+        list_transform(embedding, lambda x: floor({zone_maps.SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+    WHERE len(embedding) = {zone_maps.DIM} AND len(list_filter(embedding, lambda x: isfinite(x))) = {zone_maps.DIM}),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, v AS m
+    FROM (SELECT v, sha256('{zone_maps.SEED}:' || vec_id) AS h FROM v ORDER BY h LIMIT {zone_maps.CENTROIDS})),
+{rounds}, {assigned(last)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM a{last} JOIN v USING (r) JOIN c{last} USING (c)
+"""
+
+
 SQL = {"op1_warc_archive": OP1, "op2_licence_rules": _op2(), "op4_source_mix": OP4, "op6_line_rules": OP6,
-       "op8_near_duplicates": OP8}
+       "op8_near_duplicates": OP8, "op12_collocations": OP12, "op13_centroid_clusters": _op13()}
