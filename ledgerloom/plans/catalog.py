@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed
 from ledgerloom.functions import dates, language, scores, text
-from ledgerloom.operators import analytics, duplicates, export, extract, pages, search, upsert, validate, views
+from ledgerloom.operators import analytics, duplicates, export, extract, languages, pages, search, upsert, validate, views
 from ledgerloom.plans import jobs
 from ledgerloom.session import inline_table, stage, stage_path, work_dir
 from ledgerloom.sources import ledger, recognised, requests
@@ -248,7 +248,8 @@ def extraction_accuracy(spark, folder):
 
 @query
 def document_languages(spark, folder):
-    return language.with_language(table(spark, folder, "documents").select("doc_id", "text")).drop("text")
+    docs = table(spark, folder, "documents")
+    return languages.detect_languages(docs, languages.learn_languages(docs), ["doc_id"])
 
 
 @query
@@ -264,10 +265,9 @@ def detect_script(spark, folder):
 
 
 def _profiles(spark, folder):
-    docs = table(spark, folder, "documents").select("doc_id", "lang", "text")
-    docs = language.with_profile(docs, "text", "best")
-    found = F.when(F.col("best.hits") > 0, F.col("best.lang")).otherwise("")
-    return docs.select("doc_id", "lang", found.alias("detected"), F.col("best.hits").alias("hits"))
+    docs = table(spark, folder, "documents")
+    scored = languages.score_languages(docs, languages.learn_languages(docs), ["doc_id", "lang"], F.col("text"))
+    return scored.select("doc_id", "lang", F.coalesce("best.lang", F.lit("")).alias("detected"), F.col("best.score").alias("score"), "n_grams")
 
 
 @query
@@ -277,7 +277,9 @@ def language_profile(spark, folder):
 
 @query
 def language_accuracy(spark, folder):
-    return _profiles(spark, folder).groupBy("lang", "detected").agg(F.count(F.lit(1)).alias("n"))
+    """Labels and detected languages of the texts that the model hasn't learned from."""
+    rows = _profiles(spark, folder).where(languages.held_out(F.col("doc_id")))
+    return rows.groupBy("lang", "detected").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from ledgerloom import fixed
 from ledgerloom.functions.dates import MONTH_KEYS, SHAPES
+from ledgerloom.operators import languages
 
 
 def lit(value: str) -> str:
@@ -328,6 +329,34 @@ lang_codes AS (SELECT t.doc_id, CASE WHEN length({stripped('t.text')}) < {fixed.
   FROM {source} t JOIN profile USING (doc_id))"""
 
 
+def _slice(key: str) -> str:
+    return f"(('0x' || substr(sha256(CAST({key} AS VARCHAR)), 1, 8))::BIGINT % 1000)"
+
+
+def _trigram_model() -> str:
+    """CTEs: pieces (trigrams of every text) and best (language and score of every text), learned from documents."""
+    learnt = f"""SELECT doc_id FROM documents, (SELECT least({1000 - languages.HELD_OUT}, 1000 * {languages.TRAIN_TEXTS} // count(*)) AS share
+      FROM documents WHERE lang IN {in_list(fixed.LANGUAGE_NAMES)} AND text IS NOT NULL)
+    WHERE lang IN {in_list(fixed.LANGUAGE_NAMES)} AND {_slice('doc_id')} < share"""
+    return f"""
+spelt AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{M}}]+')) AS w FROM documents),
+pieces AS (SELECT doc_id, lang, substr(' ' || w || ' ', i, 3) AS gram, count(*) AS n
+  FROM (SELECT doc_id, lang, w, unnest(range(1, length(w) + 1)) AS i FROM spelt) GROUP BY ALL),
+seen AS (SELECT lang, gram, sum(n) AS n FROM pieces WHERE doc_id IN ({learnt}) GROUP BY ALL),
+kept AS (SELECT DISTINCT gram FROM (SELECT gram, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS r FROM seen)
+  WHERE r <= {languages.GRAMS}),
+totals AS (SELECT lang, sum(n) + (SELECT count(*) FROM kept) AS total FROM seen GROUP BY lang),
+weights AS (SELECT gram, t.lang AS code, CAST(round({languages.WEIGHT_SCALE} * ln((coalesce(s.n, 0) + 1) / CAST(total AS DOUBLE))) AS BIGINT) AS w
+  FROM kept CROSS JOIN totals t LEFT JOIN seen s USING (gram, lang)),
+rated AS (SELECT doc_id, t.lang AS code, sum(n) AS n_grams, CAST(sum(n * coalesce(w,
+    CAST(round({languages.WEIGHT_SCALE} * ln(1 / CAST(total AS DOUBLE))) AS BIGINT))) AS BIGINT) AS score
+  FROM pieces p CROSS JOIN totals t LEFT JOIN weights x ON x.gram = p.gram AND x.code = t.lang GROUP BY ALL),
+best AS (SELECT doc_id, code, score, CAST(n_grams AS BIGINT) AS n_grams FROM rated
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, code) = 1),
+profile AS (SELECT doc_id, lang, coalesce(code, '') AS detected, score, coalesce(n_grams, 0) AS n_grams
+  FROM documents LEFT JOIN best USING (doc_id))"""
+
+
 # --- extraction --------------------------------------------------------------
 
 def _currency() -> str:
@@ -632,13 +661,15 @@ FROM (SELECT doc_id, {_ALL_MATCH} AS a FROM lined)"""),
         "extract_currency": _extract("currency", "score_currency"),
         "extract_payment_terms": _extract("payment_terms", "score_payment_terms"),
         "extract_fields": _with(PROCESSED, f"SELECT doc_id, {_FIELDS}, {_score_json()} AS scores, avg_field_confidence FROM processed"),
-        "document_languages": "WITH " + _language("documents") + " SELECT doc_id, lang_code FROM lang_codes",
+        "document_languages": _with(_trigram_model(), f"""SELECT doc_id, CASE WHEN length({stripped('text')}) < {fixed.MIN_DETECT_LENGTH} THEN 'en'
+  ELSE coalesce(CASE WHEN {script_code('text')} = 'zh' AND regexp_matches(text, {lit(fixed.KANA)}) THEN 'ja' END,
+    nullif({script_code('text')}, ''), nullif(detected, ''), 'en') END AS lang_code FROM documents JOIN profile USING (doc_id)"""),
         "extraction_accuracy": _with(FACTS, "SELECT field, CAST(key % 7 AS BIGINT) AS template, count(*) AS n, count(*) AS n_right FROM facts, "
             f"(VALUES {', '.join(f'({lit(f)})' for f in fixed.CHECKED_FIELDS)}) v(field) GROUP BY ALL"),
         "detect_language": _with(TEXTS + "," + _language("texts"), "SELECT doc_id, lang_code FROM lang_codes"),
         "detect_script": _with(TEXTS, f"SELECT doc_id, coalesce(nullif({script_code('text')}, ''), 'en') AS lang_code FROM texts"),
-        "language_profile": _with(word_profile("documents", "doc_id, lang"), "SELECT doc_id, lang, detected, CAST(hits AS INTEGER) AS hits FROM profile"),
-        "language_accuracy": _with(word_profile("documents", "doc_id, lang"), "SELECT lang, detected, count(*) AS n FROM profile GROUP BY ALL"),
+        "language_profile": _with(_trigram_model(), "SELECT doc_id, lang, detected, score, n_grams FROM profile"),
+        "language_accuracy": _with(_trigram_model(), f"SELECT lang, detected, count(*) AS n FROM profile WHERE {_slice('doc_id')} >= {1000 - languages.HELD_OUT} GROUP BY ALL"),
         "language_names": f"""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'xx' ELSE lang END AS code FROM documents)
 SELECT doc_id, code, CASE code {' '.join(f"WHEN '{c}' THEN {lit(n)}" for c, n in fixed.LANGUAGE_NAMES.items())}
   ELSE 'Unknown (' || code || ')' END AS name FROM c""",
