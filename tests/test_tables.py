@@ -165,27 +165,30 @@ def test_store_replay_and_idle_restart(spark):
         return df.withColumn("file_hash", F.sha2("text", 256))
 
     root, now = work_dir(spark, "store"), F.expr(NOW)
-    intake.open_store(spark, root)
-    assert intake.last_version(spark, root) == 0 and intake.current_records(spark, root).count() == 0
     content = lambda: sorted((r["id"], r["filename"], r["invoice_number"]) for r in intake.current_records(spark, root).collect())
-    intake.merge_batch(batch(["ash", "elm"]), root, 0, now)
-    intake.merge_batch(batch(["oak"]), root, 1, now)
+    intake.merge_batch(batch([]), root, 0, now)
+    assert content() == []
+    intake.merge_batch(batch(["ash", "elm"]), root, 1, now)
+    intake.merge_batch(batch(["oak", "oak"]), root, 2, now)
     before = content()
     assert [i for i, _, _ in before] == [1, 2, 3]
-    intake.merge_batch(batch(["oak"]), root, 1, now)  # delivered again
-    assert content() == before and intake.last_version(spark, root) == 2
-    intake.merge_batch(batch([]), root, 2, now)
-    assert content() == before and intake.last_version(spark, root) == 3
-    places, top = intake._places(spark, root, 3)
-    assert top == 3 and set(places.values()) == {1, 2}  # only touched buckets were written
-    # the index follows the rows: new postings for each batch, the same as of a build over the whole table
+    intake.merge_batch(batch(["oak", "oak"]), root, 2, now)  # delivered again
+    assert content() == before
+    intake.merge_batch(batch([]), root, 3, now)
+    assert content() == before
+    # the index follows the rows: postings of each batch, the same as of a build over the whole table
     from ledgerloom.operators.search import build_postings
     again = batch(["elm", "yew"]).withColumn("filename", F.concat(F.lit("new-"), "filename"))
-    intake.merge_batch(again, root, 3, now)
-    index, whole = intake.current_index(spark, root), build_postings(intake.read_version(spark, root, 4))
+    intake.merge_batch(again, root, 4, F.expr(NOW) + F.expr("INTERVAL 1 DAY"))
+    rows = {r["filename"]: r for r in intake.stored_table(spark, root).collect()}
+    assert {f: r["id"] for f, r in rows.items()} | dict.fromkeys(["ash.pdf", "new-elm.pdf"], 0) == {
+        "ash.pdf": 0, "new-elm.pdf": 0, "oak.pdf": 3, "new-yew.pdf": 4}
+    assert rows["new-elm.pdf"]["processed_at"] == rows["ash.pdf"]["processed_at"] < rows["new-yew.pdf"]["processed_at"]
+    index, whole = intake.current_index(spark, root), build_postings(intake.stored_table(spark, root))
     rows_of = lambda df: sorted(map(tuple, df.select("field", "term", "doc_id", "tf", "len").collect()))
     assert rows_of(index.postings) == rows_of(whole) and {d for _, t, d, _, _ in rows_of(whole) if t == "yew"} == {4}
     assert index.stats.select("n_docs").distinct().first()[0] == 4
-    # rows of a version without a manifest don't exist
-    spark.createDataFrame([], intake.ROW_SCHEMA).write.parquet(f"{root}/rows/version=9/bucket=0")
-    assert intake.last_version(spark, root) == 4
+    # a batch that an earlier failure left half-done is written over by its replay
+    intake.merge_batch(batch(["fir"]), root, 5, now)
+    intake.merge_batch(batch(["fir", "bay"]), root, 5, now)
+    assert len(content()) == 6 and [i for i, _, _ in content()] == [1, 2, 3, 4, 5, 6]
