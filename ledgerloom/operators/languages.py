@@ -19,7 +19,7 @@ from ledgerloom.session import stage
 
 #: Texts to learn from at most (about), chosen by a hash of the key; and the thousandths of the keys that are left out
 #: of learning whatever their number, to measure on.
-TRAIN_TEXTS = 20_000
+TRAIN_TEXTS = 5_000
 HELD_OUT = 250
 #: Trigrams kept of each language, and what a weight of one stands for.
 GRAMS = 1000

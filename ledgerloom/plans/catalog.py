@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed
 from ledgerloom.functions import dates, language, scores, text
-from ledgerloom.operators import analytics, duplicates, export, extract, languages, pages, search, upsert, validate, views
+from ledgerloom.operators import analytics, duplicates, export, extract, languages, pages, phrases, search, upsert, validate, views
 from ledgerloom.plans import jobs
 from ledgerloom.session import inline_table, stage, stage_path, work_dir
 from ledgerloom.sources import ledger, recognised, requests
@@ -490,8 +490,8 @@ def _document_rows(spark, folder):
 @query
 def tokenize(spark, folder):
     rows = _document_rows(spark, folder)
-    rows = rows.select(F.col("id").alias("doc_id"), F.posexplode(search.index_tokens(F.col("raw_text"))).alias("pos", "token"))
-    return rows.withColumn("term", search.stem(F.col("token")))
+    rows = rows.select(F.col("id").alias("doc_id"), F.posexplode(search.index_tokens(F.col("raw_text"))).alias("pos", "word"))
+    return search.with_terms(rows).withColumnRenamed("word", "token")
 
 
 @query
@@ -544,6 +544,14 @@ def vendor_search_batch(spark, folder):
     return search.search_batch(requests.vendor_queries(spark, folder), rows, postings, fixed.BATCH_SEARCH_LIMIT)
 
 
+@query
+def word_requests(spark, folder):
+    """Phrases, beginnings and sets of words taken from the benchmark items, over the documents' texts."""
+    rows = _document_rows(spark, folder)
+    postings = stage(phrases.positional_postings(rows, "raw_text"), "places")
+    return phrases.answer_requests(requests.word_requests(spark, folder), postings)
+
+
 # --- merge and sinks ---------------------------------------------------------
 
 def _merge_sides(spark, folder):

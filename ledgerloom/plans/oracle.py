@@ -474,9 +474,48 @@ _R6 = "floor(conf * 1000000.0 + 0.5) / 1000000.0 AS conf"
 # --- search ------------------------------------------------------------------
 
 def stem(t: str) -> str:
-    return (f"CASE WHEN regexp_matches({t}, '[^ea]ies\\z') THEN regexp_replace({t}, 'ies\\z', 'y') "
-            f"WHEN regexp_matches({t}, '[^aeo]es\\z') OR regexp_matches({t}, '[^us]s\\z') THEN regexp_replace({t}, 's\\z', '') "
-            f"ELSE {t} END")
+    """Porter's steps one inside the other; each result is bound to a name by a list of one element."""
+    groups = ("[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*")
+    some = f"^({groups[0]})?{groups[1]}{groups[0]}"
+    more = some + groups[1] + groups[0]
+    one = f"{some}({groups[1]})?$"
+    vowel, short = f"^({groups[0]})?[aeiouy]", f"^{groups[0]}[aeiouy][^aeiouwxy]$"
+    double = "(" + "|".join(c + c for c in "bcdfghjkmnpqrtvwx") + ")$"
+
+    def has(x: str, pattern: str) -> str:
+        return f"regexp_matches({x}, '{pattern}')"
+
+    def less(x: str, n) -> str:
+        return f"substr({x}, 1, length({x}) - {n})"
+
+    def let(value: str, name: str, body: str) -> str:
+        return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+    def suffixes(w: str, at: str, becomes: dict[str, str], condition: str) -> str:
+        new = " ".join(f"WHEN '{old}' THEN '{x}'" for old, x in becomes.items())
+        left = less(w, f"length({at})")
+        return let(f"regexp_extract({w}, '({'|'.join(becomes)})$', 1)", at,
+                   f"CASE WHEN {at} <> '' AND {has(left, condition)} AND ({at} <> 'ion' OR {has(left, '[st]$')}) "
+                   f"THEN {left} || CASE {at} {new} END ELSE {w} END")
+
+    mended = (f"CASE WHEN {has('p', '(at|bl|iz)$')} THEN p || 'e' WHEN {has('p', double)} THEN {less('p', 1)} "
+              f"WHEN {has('p', short)} THEN p || 'e' ELSE p END")
+    bodies = [
+        lambda w: f"CASE WHEN {has(w, '(ss|i)es$')} THEN {less(w, 2)} WHEN {has(w, '[^s]s$')} THEN {less(w, 1)} ELSE {w} END",
+        lambda w: (f"CASE WHEN {has(w, 'eed$')} THEN CASE WHEN {has(less(w, 3), some)} THEN {less(w, 1)} ELSE {w} END ELSE coalesce("
+                   + let(f"CASE WHEN {has(w, 'ed$')} THEN {less(w, 2)} WHEN {has(w, 'ing$')} THEN {less(w, 3)} END", "p",
+                         f"CASE WHEN {has('p', vowel)} THEN {mended} END") + f", {w}) END"),
+        lambda w: f"CASE WHEN {has(w, 'y$')} AND {has(less(w, 1), vowel)} THEN {less(w, 1)} || 'i' ELSE {w} END",
+        lambda w: suffixes(w, "s2", fixed.PORTER_STEP_2, some),
+        lambda w: suffixes(w, "s3", fixed.PORTER_STEP_3, some),
+        lambda w: suffixes(w, "s4", dict.fromkeys(fixed.PORTER_STEP_4, ""), more),
+        lambda w: (f"CASE WHEN {has(w, 'e$')} AND ({has(less(w, 1), more)} OR ({has(less(w, 1), one)} AND NOT {has(less(w, 1), short)})) "
+                   f"THEN {less(w, 1)} ELSE {w} END"),
+        lambda w: f"CASE WHEN {has(w, 'll$')} AND {has(w, more)} THEN {less(w, 1)} ELSE {w} END"]
+    stemmed = f"regexp_replace({t}, '^y', 'Y')"
+    for i, body in enumerate(bodies):
+        stemmed = let(stemmed, f"w{i}", body(f"w{i}"))
+    return f"CASE WHEN {has(t, '^[a-z]{3,}$')} THEN lower({stemmed}) ELSE {t} END"
 
 
 def index_tokens(t: str) -> str:
@@ -484,6 +523,29 @@ def index_tokens(t: str) -> str:
             f"lambda w: length(w) >= 2 AND w NOT IN {in_list(fixed.SEARCH_STOP_WORDS)})")
 
 
+def _word_requests() -> str:
+    worth = f"length(w) >= 2 AND w NOT IN {in_list(fixed.SEARCH_STOP_WORDS)}"
+    return f"""
+items AS (SELECT CAST(item_id AS BIGINT) AS k, string_split_regex(lower(trim(text)), '[^\\p{{L}}\\p{{N}}]+') AS w FROM benchmark),
+asked AS (SELECT k * 3 AS query_id, 'phrase' AS kind, CASE WHEN k % 10 = 3 THEN list_append(w[3:4], 'qqzzq') ELSE w[3:5] END AS ws FROM items WHERE len(w) >= 5
+  UNION ALL SELECT k * 3 + 1, 'prefix', [substr(w[2], 1, 4)] FROM items WHERE len(w) >= 5
+  UNION ALL SELECT k * 3 + 2, 'any', [w[1], w[-2]] FROM items WHERE len(w) >= 5),
+tok AS (SELECT doc_id, unnest(ws) AS w, unnest(range(0, len(ws))) AS place FROM (
+  SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), {lit(fixed.TOKEN)}) AS ws FROM documents)),
+spelt AS (SELECT w, {stem('w')} AS term FROM (SELECT DISTINCT w FROM tok UNION SELECT DISTINCT unnest(ws) FROM asked)),
+held AS (SELECT doc_id, w, place, term FROM tok JOIN spelt USING (w) WHERE {worth}),
+words AS (SELECT query_id, kind, unnest(ws) AS w, unnest(range(0, len(ws))) AS pos FROM asked),
+need AS (SELECT query_id, kind, w, pos, term FROM words JOIN spelt USING (w) WHERE {worth}),
+needed AS (SELECT query_id, count(*) AS n FROM need WHERE kind = 'phrase' GROUP BY 1),
+met AS (SELECT query_id, doc_id, place - pos AS start, count(DISTINCT pos) AS n FROM need JOIN held USING (term)
+  WHERE kind = 'phrase' GROUP BY ALL),
+answers AS (
+  SELECT query_id, 'phrase' AS kind, doc_id, count(*) AS n FROM met m JOIN needed d USING (query_id) WHERE m.n = d.n GROUP BY ALL
+  UNION ALL SELECT query_id, 'prefix', doc_id, count(DISTINCT h.w) FROM words q JOIN held h ON starts_with(h.w, q.w)
+    WHERE kind = 'prefix' AND length(q.w) >= 2 GROUP BY ALL
+  UNION ALL SELECT query_id, 'any', doc_id, count(DISTINCT term) FROM need JOIN held USING (term) WHERE kind = 'any' GROUP BY ALL)"""
+
+
 def _postings(rows: list[tuple[str, str, str]], name: str = "postings") -> str:
     """rows: (field, source, text column); the invoice number is one whole token."""
     parts = []
@@ -735,6 +797,7 @@ ORDER BY r.id LIMIT 100"""),
         "vendor_scan_batch": _with(KNOWN + "," + VENDOR, f"""SELECT query_id, CAST(rank AS INTEGER) AS rank, id, vendor_name, invoice_number
 FROM (SELECT query_id, id, vendor_name, invoice_number, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank
   FROM asked JOIN known ON contains(lower(vendor_name), lower(vendor))) WHERE rank <= {fixed.BATCH_SEARCH_LIMIT}"""),
+        "word_requests": _with(_word_requests(), "SELECT * FROM answers"),
         "tokenize": f"""WITH t AS (SELECT doc_id, {index_tokens('text')} AS ws FROM documents),
 u AS (SELECT doc_id, CAST(unnest(range(0, len(ws))) AS INTEGER) AS pos, unnest(ws) AS token FROM t)
 SELECT doc_id, pos, token, {stem('token')} AS term FROM u""",

@@ -37,3 +37,16 @@ def mixed_queries(spark: SparkSession, folder: str) -> DataFrame:
         F.when(key % 5 == 0, F.lit(50000.0)).alias("min_amount"),
         F.when(key % 5 == 0, F.lit(250000.0)).alias("max_amount"),
     )
+
+
+def word_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """query_id, kind, words: of each benchmark item a phrase of its third to fifth word, the beginning of its second
+    and its first and last words; every tenth phrase has a word that no text has."""
+    items = table(spark, folder, "benchmark").select("item_id", F.split(F.lower(F.trim("text")), r"[^\p{L}\p{N}]+").alias("w"))
+    key = F.col("item_id").cast("bigint")
+    phrase = F.when(key % 10 == 3, F.concat(F.slice("w", 3, 2), F.array(F.lit("qqzzq")))).otherwise(F.slice("w", 3, 3))
+    kinds = [("phrase", phrase), ("prefix", F.array(F.substring(F.get("w", F.lit(1)), 1, 4))),
+             ("any", F.array(F.get("w", F.lit(0)), F.element_at("w", -2)))]
+    made = F.array(*[F.struct((key * 3 + i).alias("query_id"), F.lit(kind).alias("kind"), words.alias("words"))
+                     for i, (kind, words) in enumerate(kinds)])
+    return items.where(F.size("w") >= 5).select(F.explode(made).alias("r")).select("r.*")
