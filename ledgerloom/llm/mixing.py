@@ -53,9 +53,12 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_copies: int =
 
 
 def pareto_mix(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_COPIES,
-               expected: Column | None = None) -> DataFrame:
+               expected: Column | None = None, carry: list[str] | None = None) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken for every row of docs (doc_id, text, source).
 
+    With carry, each row also has its own columns of that name in a struct `row`, so nothing has to be joined back, and
+    rows of one doc_id and size stand in the order of the hash of these.
+
     A document is expected `expected` times (default: target / size of its source), at most max_copies. The whole part
     is certain. For the rest f, documents stand in the order of (u / (1 - u)) / (f / (1 - f)) with u from the doc_id,
     and the first of them are taken until the words of their source are reached: all before, and the one that reaches
@@ -69,7 +72,9 @@ def pareto_mix(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_
     the class where the sum is reached are ranked, so no task holds a source.
     """
     rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"),
-                       *([expected.cast("double").alias("expected")] if expected is not None else []))
+                       *([expected.cast("double").alias("expected")] if expected is not None else []),
+                       *([F.struct(*carry).alias("row")] if carry else []))
+    ties = [F.xxhash64("row")] if carry else []
     rows = written(rows, "mix-sizes")
     targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_copies)
     targets = written(targets, "mix-targets")
@@ -98,7 +103,7 @@ def pareto_mix(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_
     cut = written(cut, "mix-cuts")
     mixed = hot_join(mixed, cut, ["key"], spread, how="left", salts=SALTS)
     inside = mixed.where(F.col("q").isNotNull() & (F.col("class") == F.col("cut")))
-    order = Window.partitionBy("key").orderBy("q", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy("key").orderBy("q", "doc_id", "size", *ties).rowsBetween(Window.unboundedPreceding, 0)
     end = F.col("before") + F.sum("size").over(order)
     start = end - F.col("size")
     inside = inside.withColumn("more", (F.col("want") > start) & (
@@ -109,4 +114,4 @@ def pareto_mix(docs: DataFrame, weights: tuple = WEIGHTS, max_copies: int = MAX_
     copies = F.col("whole") + F.col("more").cast("bigint")
     return inside.unionByName(outside).select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"),
-        (copies * F.col("size")).alias("taken"))
+        (copies * F.col("size")).alias("taken"), *(["row"] if carry else []))

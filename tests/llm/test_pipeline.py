@@ -69,3 +69,27 @@ def test_texts_that_share_an_id(spark, docs_of, prose):
     assert stage(rows[::-1]) == got
     twice = [(1, a, "x"), (1, a, "y")]
     assert stage(twice) == stage(twice[::-1]) and len(stage(twice)) == 1
+
+
+def test_mix_of_texts_that_share_an_id(spark, docs_of, prose):
+    """Every row has its own size and copies, and all of them come out as by hand."""
+    from ledgerloom.llm.mixing import pareto_mix
+
+    rows = [(5, prose(10, 1), "a"), (5, prose(700, 2), "b"), (None, prose(3, 3), "a"), (None, prose(90, 4), "b"), (None, prose(90, 4), "b"),
+            (7, prose(60, 5), "b"), (7, prose(60, 6), "b"), (8, None, "a"), (9, "", None), (10, prose(40, 7), None)]
+    rows += [(100 + i, prose(20 + i, 50 + i), "abc"[i % 3]) for i in range(60)]
+    stage = lambda rows: sorted(((r["doc_id"], r["text"], r["source"], r["size"], r["copies"], r["taken"]) for r in corpus_pipeline.mix(
+        spark, docs_of(rows, "copies target"), "").collect()), key=str)
+    got = stage(rows)
+    assert got == stage(rows[::-1])
+    assert all(size == len((text or "").split()) and taken == size * copies and copies > 0 for _, text, _, size, copies, taken in got)
+    from collections import Counter
+    have, drawn = Counter((i, t, s) for i, t, s in rows), Counter((i, t, s) for i, t, s, *_ in got)
+    assert all(n <= have[k] for k, n in drawn.items())
+    # the same rows as the operator takes, one by one
+    taken = Counter((r["doc_id"], r["source"], r["size"], r["copies"]) for r in pareto_mix(docs_of(rows)).where("copies > 0").collect())
+    assert sorted(taken.items(), key=str) == sorted(Counter((i, s, n, c) for i, _, s, n, c, _ in got).items(), key=str)
+    # words taken come near the targets: by the half of the largest text of the source at most
+    for source in "abc":
+        of = [r for r in pareto_mix(docs_of(rows)).collect() if r["source"] == source]
+        assert abs(sum(r["taken"] for r in of) - of[0]["target"]) <= max(r["size"] for r in of)
