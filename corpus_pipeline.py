@@ -54,11 +54,14 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents taken into the mix, with the number of their copies."""
+    """Documents taken into the mix, with the number of their copies.
+
+    Each row is drawn as it is, also where several share a doc_id or have none; a column that bears the name of a new one
+    gives way.
+    """
     new = ["size", "target", "copies", "taken"]
-    copies = mixing.pareto_mix(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), *new).dropDuplicates(["__id"])
-    docs = docs.drop(*new)  # a column of that name gives way
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
+    docs = docs.drop(*new)
+    return mixing.pareto_mix(docs, carry=docs.columns).where("copies > 0").select("row.*", *new)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
