@@ -75,41 +75,63 @@ def test_a_full_filter_changes_nothing(spark):
     assert got(collocations.mine_collocations(rows_of(spark, rows), filter_bits=64)) == brute(rows)
 
 
+def cut(*texts, **limits):
+    """The tokens of the texts and the ranges of them that belong to each chunk."""
+    parts = [collocations.levelled(t.encode()) for t in texts]
+    joined = b"".join(parts)
+    found = collocations.Tokens(joined)
+    heads = np.searchsorted(found.start, np.cumsum([0, *map(len, parts[:-1])]))
+    first, next_ = collocations.chunk_edges(found.hash, heads, **limits)
+    return [joined[a:b] for a, b in zip(found.start, found.stop)], list(zip(first.tolist(), next_.tolist()))
+
+
+def test_tokens(monkeypatch):
+    draw = random.Random(9)
+    text = "".join(draw.choice(["a", "bc", " ", " ", ".", "\xa0", "é" * 30, "\t"]) for _ in range(3000))
+    wanted = re.findall(rb"[^ .]+|\.", collocations.levelled(text.encode()))
+    hashes = None
+    for segment in (1 << 21, 64, 1):  # cut in few and in many parts, and words longer than a part
+        monkeypatch.setattr(collocations, "SEGMENT", segment)
+        found = collocations.Tokens(collocations.levelled(text.encode()))
+        assert [collocations.levelled(text.encode())[a:b] for a, b in zip(found.start, found.stop)] == wanted
+        assert (found.word == np.array([w != b"." for w in wanted])).all()
+        assert len(set(zip(wanted, found.hash.tolist()))) == len(set(wanted)) == len(set(found.hash.tolist()))
+        assert hashes is None or (hashes == found.hash).all()
+        hashes = found.hash
+    assert len(collocations.Tokens(b"").start) == 0
+
+
 def test_chunks_cover_each_token_once():
     draw = random.Random(5)
-    words = collocations.Words()
-    for length in (0, 1, 3, 4, 5, 100, 3000):
-        text = " ".join(draw.choice(["a", "b", "c.", "d", "ü"]) for _ in range(length))
-        found = collocations.tokens(text)
-        places = words.places(found)
-        starts = collocations.chunk_starts(words.hashes[0][places], every=8, most=50)
-        edges = [*starts, len(found) - collocations.SHARED] if found else []
-        assert not found or (edges[0] == 0 and all(a < b <= a + 50 for a, b in zip(edges, edges[1:])))
-        own = [found[a:b] for a, b in zip(edges, edges[1:])]
-        assert [w for part in own for w in part] == found[:-3]
+    texts = [" ".join(draw.choice(["a", "b", "c.", "d", "ü"]) for _ in range(n)) for n in (0, 1, 3, 4, 0, 5, 100, 3000, 0)]
+    found, edges = cut(*texts, every=8, most=50)
+    assert all(a < b <= a + 50 for a, b in edges)
+    covered = [i for a, b in edges for i in range(a, b)]
+    assert covered == sorted(set(covered))
+    tails, at = set(), 0
+    for t in texts:
+        at += len(cut(t)[0])
+        tails |= {at - 1, at - 2, at - 3}
+    assert set(covered) == set(range(len(found))) - tails
 
 
 def test_a_passage_is_cut_alike_in_other_surroundings():
     draw = random.Random(6)
     vocabulary = [f"w{i}" for i in range(500)]
     passage = [draw.choice(vocabulary) for _ in range(1000)]
-    words = collocations.Words()
 
     def chunks(text):
-        found = collocations.tokens(text)
-        places = words.places(found)
-        starts = collocations.chunk_starts(words.hashes[0][places])
-        return {" ".join(found[a:b + 3]) for a, b in zip(starts, [*starts[1:], len(found) - 3])}
+        found, edges = cut(text)
+        return {b" ".join(found[a:b + 3]) for a, b in edges}
 
     one, two = (chunks(" ".join([draw.choice(vocabulary) for _ in range(200)] + passage)) for _ in range(2))
     assert len(one & two) >= 20
 
 
-def test_counting_with_equal_first_hashes():
-    h1 = np.array([5, 5, 5, 7], np.uint64)
-    h2 = np.array([1, 2, 1, 1], np.uint64)
-    first, total = collocations._counted(h1, h2, np.array([10, 20, 30, 40]))
-    assert sorted(zip(h1[first].tolist(), h2[first].tolist(), total.tolist())) == [(5, 1, 40), (5, 2, 20), (7, 1, 40)]
+def test_counting_with_equal_hashes():
+    left, right = np.array([1, 2, 1, 1], np.uint64), np.array([5, 5, 5, 7], np.uint64)
+    first, total = collocations._counted(np.array([9, 9, 9, 3], np.uint64), left, right, np.array([10, 20, 30, 40]))
+    assert sorted(zip(left[first].tolist(), right[first].tolist(), total.tolist())) == [(1, 5, 40), (1, 7, 40), (2, 5, 20)]
 
 
 @pytest.mark.parametrize("rows", [[], [(None, None)], [("en", "...")]])
@@ -120,6 +142,7 @@ def test_no_words(spark, rows):
 
 def test_score_of_large_counts(spark):
     big = 9 * 10 ** 12
-    rows = [("en", "a b", 2, big), ("en", "a", 1, big + 1), ("en", "b", 1, big + 2)]
-    found = collocations.scored(spark.createDataFrame(rows, "lang string, phrase string, size tinyint, f bigint")).collect()
-    assert [(r["a"], r["l"], r["r"], r["score"]) for r in found] == [(big, big + 1, big + 2, 2000000 * big // (2 * big + 3))]
+    phrases = spark.createDataFrame([(7, big, [(1, 1, 2)])], "h bigint, a bigint, cuts array<struct<cut:int,left:bigint,right:bigint>>")
+    known = spark.createDataFrame([(1, big + 1), (2, big + 2)], "h bigint, f bigint")
+    found = collocations.scored(phrases, known).collect()
+    assert [(r["l"], r["r"], r["score"]) for r in found] == [(big + 1, big + 2, 2000000 * big // (2 * big + 3))]
