@@ -23,8 +23,8 @@ ASK_EVERY = 20
 SAMPLE = 16384
 #: Vectors of the sample that give each query its first limit, and queries that find how many lists to probe.
 LIMIT_SAMPLE, PROBE_QUERIES = 2048, 128
-#: Share of the sample's true neighbours that lie in the probed lists.
-PROBE_RECALL = 0.99
+#: Share of the true neighbours of the sample's queries that lie in the probed lists.
+PROBE_RECALL = 1.0
 MAX_LISTS = 1024
 #: A list aims at 16 times the root of the number of vectors, between these; longer ones are several parts.
 LEAST_ROWS, MOST_ROWS = 1024, 65536
@@ -64,10 +64,11 @@ def distinct_vectors(vectors: DataFrame, asked: Column, k: int) -> tuple[DataFra
 
 @dataclass
 class Index:
-    """Rotation, list centres (rotated), and what scales a vector; of bounded size."""
+    """Rotation, list centres (rotated) and how far their lists reach, and what scales a vector; of bounded size."""
 
     rotation: np.ndarray
     centres: np.ndarray
+    reach: np.ndarray
     sample: np.ndarray
     scale: float
     square: float
@@ -83,6 +84,15 @@ class Index:
         """Rotated queries; their additional component is zero."""
         return (rows * self.scale) @ self.rotation[:-1]
 
+    def order(self, asked: np.ndarray) -> np.ndarray:
+        """Lists of each rotated query, the one with the largest inner product to be expected first.
+
+        That is the centre's and, of n vectors that lie around it at random, the largest of n: a small dense list has a
+        far centre but may hold the nearest vectors.
+        """
+        norm = np.sqrt((asked * asked).sum(1))[:, None]
+        return (-(asked @ self.centres.T) - norm * self.reach).argsort(1, kind="stable")
+
 
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * (a @ b.T)
@@ -115,10 +125,16 @@ def fit_index(nodes: DataFrame, k: int, sample: int = SAMPLE, probe_recall: floa
     dim = points.shape[1]
     draw = np.random.Generator(np.random.PCG64(SEED))
     turn, upper = np.linalg.qr(draw.standard_normal((dim + 1, dim + 1)))
-    index = Index(turn * np.sign(np.diag(upper)), np.zeros((1, dim + 1)), points[:LIMIT_SAMPLE], scale, square, 1)
+    index = Index(turn * np.sign(np.diag(upper)), np.zeros((1, dim + 1)), np.zeros(1), points[:LIMIT_SAMPLE], scale, square, 1)
     target = min(max(16 * math.isqrt(count), LEAST_ROWS), MOST_ROWS)
     lists = max(1, min(MAX_LISTS, round(count / target), len(points)))
-    index.centres = _centres(index.placed(points), lists)
+    placed = index.placed(points)
+    index.centres = _centres(placed, lists)
+    near = _distances(placed, index.centres)
+    home = near.argmin(1)
+    count = np.maximum(np.bincount(home, minlength=lists), 1)
+    spread = np.bincount(home, np.maximum(near.min(1), 0), lists) / count
+    index.reach = np.sqrt(spread * 2 * np.log(np.maximum(count, 2)) / (dim + 1))
     index.probes = probes_needed(index, points, k, probe_recall)
     return index
 
@@ -133,7 +149,7 @@ def probes_needed(index: Index, points: np.ndarray, k: int, recall: float) -> in
         return lists
     some = points[:: max(1, len(points) // PROBE_QUERIES)][:PROBE_QUERIES]
     home = _distances(index.placed(points), index.centres).argmin(1)
-    order = _distances(index.asked(some), index.centres).argsort(1, kind="stable")
+    order = index.order(index.asked(some))
     rank = np.empty_like(order)
     np.put_along_axis(rank, order, np.arange(lists)[None, :], 1)
     near = np.argsort(-(some @ points.T), axis=1, kind="stable")[:, :k + 1]
@@ -251,8 +267,7 @@ def search_lists(nodes: DataFrame, index: Index, k: int) -> DataFrame:
         index = Index(**held.value)
         for batch in batches:
             if batch.num_rows:
-                far = _distances(index.asked(_matrix(batch)), index.centres)
-                order = far.argsort(1, kind="stable")[:, :probes].astype(np.int32)
+                order = index.order(index.asked(_matrix(batch)))[:, :probes].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(order), pa.list_(pa.int32()))],
                                                  names=[*batch.schema.names, "lists"])
 

@@ -72,7 +72,7 @@ def test_early_abandoning_drops_most_pairs_and_few_neighbours():
     rows = centres[np.arange(1024) % 20] + draw.normal(0, 0.3, (1024, 64))
     square = float((rows * rows).sum(1).max())
     turn, _ = np.linalg.qr(draw.standard_normal((65, 65)))
-    index = adaptive_scan.Index(turn, np.zeros((1, 65)), rows[:256], 1.0, square, 1)
+    index = adaptive_scan.Index(turn, np.zeros((1, 65)), np.zeros(1), rows[:256], 1.0, square, 1)
     part = adaptive_scan._List(index, rows, np.arange(1024))
     queries = rows[::64]
     asked = index.asked(queries)
