@@ -13,12 +13,9 @@ from ledgerloom.llm.common import hot_join, map_rows, words, written
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
-#: A line is boilerplate of its host above both: so many documents, and this share of the host's documents.
+#: A line in more distinct texts of its host than this is boilerplate, whatever the size of the host.
 LINE_DOCUMENTS = 20
-LINE_SHARE = 0.05
-#: For texts that go on, a line in more documents than this is boilerplate however many the host has.
-LINE_ALWAYS = 1000
-#: A document is depleted if more than this share of its words is in boilerplate lines.
+#: A document is depleted if more than this share of its words is in boilerplate lines, or fewer than MIN_WORDS are left.
 DEPLETED_SHARE = 0.8
 _SYMBOL = re.compile(r"[#*$%&|<>]")
 _PLAIN = re.compile(r"[\W_]+")
@@ -72,22 +69,11 @@ _SCHEMA = ("doc_id bigint, host string, text_hash bigint, n_words bigint, word_c
            "n_repeat_words bigint, base_failed boolean, lines array<struct<key:bigint,n:bigint>>")
 
 
-def boilerplate(measured: DataFrame, line_documents: int, line_share: float,
-                line_always: int | None = None) -> DataFrame:
-    """(host, key) of lines above the limits. Exact copies are one document, so a copied text isn't boilerplate.
-
-    The limit by share of the host's documents is line_always at most, if given.
-    """
+def boilerplate(measured: DataFrame, line_documents: int) -> DataFrame:
+    """(host, key, n) of lines above the limit. Exact copies are one document, so a copied text isn't boilerplate."""
     lines = measured.select("host", "text_hash", F.explode("lines.key").alias("key"))
-    counts = (lines.groupBy("host", "key", "text_hash").agg(F.lit(1).alias("x"))
-              .groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > line_documents))
-    hosts = (measured.groupBy("host", "text_hash").agg(F.lit(1).alias("x"))
-             .groupBy("host").agg(F.count("*").alias("docs")))
-    limit = line_share * F.col("docs")
-    if line_always is not None:
-        limit = F.least(limit, F.lit(float(line_always)))
-    return (hot_join(counts, hosts, ["host"], "key").where(F.col("n") > limit)
-            .select("host", "key", "n"))
+    return (lines.groupBy("host", "key", "text_hash").agg(F.lit(1).alias("x"))
+            .groupBy("host", "key").agg(F.count("*").alias("n")).where(F.col("n") > line_documents))
 
 
 def without_lines(text: str | None, gone: list[int] | None) -> str | None:
@@ -102,12 +88,9 @@ def _host(host: Column | None) -> Column:
     return F.coalesce((host if host is not None else F.col("source")).cast("string"), F.lit("\0"))
 
 
-def _judged(docs: DataFrame, host: Column | None, line_documents: int, line_share: float, depleted_share: float,
-            line_always: int | None = None, least_left: int = 0) -> DataFrame:
-    """The columns of judge_quality with host and gone, the keys of the row's lines above the limits.
-
-    A kept document also has least_left words outside those lines.
-    """
+def _judged(docs: DataFrame, host: Column | None, line_documents: int, depleted_share: float,
+            least_left: int) -> DataFrame:
+    """The columns of judge_quality with host and gone, the keys of the row's lines above the limit."""
     rows = docs.select("doc_id", "text", _host(host).alias("host"), F.xxhash64("text").alias("text_hash"))
 
     def each(row):
@@ -115,7 +98,7 @@ def _judged(docs: DataFrame, host: Column | None, line_documents: int, line_shar
 
     measured = map_rows(rows, each, _SCHEMA).withColumn("row_id", F.monotonically_increasing_id())
     measured = written(measured, "line-measures")
-    common = written(boilerplate(measured, line_documents, line_share, line_always), "line-boilerplate")
+    common = written(boilerplate(measured, line_documents), "line-boilerplate")
     lines = measured.select("row_id", "host", F.explode("lines").alias("line")).select("row_id", "host", "line.*")
     removed = (hot_join(lines, common.select("host", "key"), ["host", "key"], "row_id")
                .groupBy("row_id").agg(F.sum("n").alias("removed"), F.collect_list("key").alias("gone")))
@@ -129,29 +112,25 @@ def _judged(docs: DataFrame, host: Column | None, line_documents: int, line_shar
 
 
 def judge_quality(docs: DataFrame, host: Column | None = None, line_documents: int = LINE_DOCUMENTS,
-                  line_share: float = LINE_SHARE, depleted_share: float = DEPLETED_SHARE) -> DataFrame:
+                  depleted_share: float = DEPLETED_SHARE, least_left: int = MIN_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, text_hash, the base figures, n_removed_words, kept.
 
     Lines are counted per host (default: the column source) by distinct texts that have them. A document is kept if its
-    base figures pass and at most depleted_share of its words are in lines above the limits. A null text is a text
-    without words, a null host is a host, rows without a doc_id and repeated rows are judged like others, other columns
-    are ignored, and an empty table gives no rows.
+    base figures pass, at most depleted_share of its words are in lines above the limit and least_left words are outside
+    them. A null text is a text without words, a null host is a host, rows without a doc_id and repeated rows are judged
+    like others, other columns are ignored, and an empty table gives no rows.
     """
-    return _judged(docs, host, line_documents, line_share, depleted_share).drop("host", "gone")
+    return _judged(docs, host, line_documents, depleted_share, least_left).drop("host", "gone")
 
 
 def clean_documents(docs: DataFrame, host: Column | None = None, line_documents: int = LINE_DOCUMENTS,
-                    line_share: float = LINE_SHARE, depleted_share: float = DEPLETED_SHARE,
-                    line_always: int | None = LINE_ALWAYS, least_left: int = MIN_WORDS) -> DataFrame:
-    """The rows of docs that pass, their texts without the host's lines above the limits.
-
-    Stricter than judge_quality in two ways: a line in over line_always of the host's distinct texts is above the limits
-    whatever its share, and a document is depleted also if fewer than least_left words are left of it.
+                    depleted_share: float = DEPLETED_SHARE, least_left: int = MIN_WORDS) -> DataFrame:
+    """The rows of docs that judge_quality keeps, their texts without the host's lines above the limit.
 
     All columns stay; only text changes. The keys come back to a row by doc_id, host and hash of the text, on which both
     the verdict and the lines depend, so repeated rows stay repeated.
     """
-    judged = _judged(docs, host, line_documents, line_share, depleted_share, line_always, least_left).where("kept")
+    judged = _judged(docs, host, line_documents, depleted_share, least_left).where("kept")
     keys = judged.select("doc_id", "host", "text_hash", "gone").dropDuplicates(["doc_id", "host", "text_hash"])
     columns, schema = docs.columns, docs.schema
     left = docs.withColumn("__host", _host(host)).withColumn("__hash", F.xxhash64("text")).alias("d")

@@ -94,9 +94,8 @@ l AS (SELECT r, host, t, line, len(regexp_extract_all(line, '{WORD}')) AS n,
              trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) AS key
       FROM (SELECT r, host, t, unnest(str_split(t, E'\\n')) AS line FROM d)),
 dup AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup FROM l WHERE n > 0 GROUP BY r),
-hosts AS (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host),
-common AS (SELECT host, key FROM (SELECT host, key, count(DISTINCT t) AS n FROM l WHERE n > 0 AND key <> '' GROUP BY host, key)
-           JOIN hosts USING (host) WHERE n > {line_rules.LINE_DOCUMENTS} AND n > {line_rules.LINE_SHARE} * docs),
+common AS (SELECT host, key FROM l WHERE n > 0 AND key <> '' GROUP BY host, key
+           HAVING count(DISTINCT t) > {line_rules.LINE_DOCUMENTS}),
 gone AS (SELECT r, sum(n) AS n_removed FROM l JOIN common USING (host, key) WHERE n > 0 GROUP BY r),
 b AS (SELECT doc_id, len(ws) AS n_words, strlen(regexp_replace(regexp_replace(t, '[\\x20\\x09-\\x0D]+', '', 'g'), '.', 'x', 'gs'))
              AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols, coalesce(n_dup, 0) AS n_dup_lines,
@@ -106,7 +105,8 @@ v AS (SELECT *, n_words < {line_rules.MIN_WORDS} OR 100 * n_repeat_words > {line
       FROM b)
 SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols,
        n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
-       n_removed::BIGINT AS n_removed_words, NOT base_failed AND n_removed <= {line_rules.DEPLETED_SHARE} * n_words AS kept
+       n_removed::BIGINT AS n_removed_words, NOT base_failed AND n_removed <= {line_rules.DEPLETED_SHARE} * n_words
+       AND n_words - n_removed >= {line_rules.MIN_WORDS} AS kept
 FROM v
 """
 
