@@ -1,23 +1,26 @@
 """Personal data: fixed shapes, and bootstrapped patterns that find identifiers the shapes miss.
 
 Identifiers found by shape are seeds. The words around them are patterns; a pattern is trusted by the share of its
-values that are trusted, a value by the patterns it occurs in. A few rounds over that graph find values of a looser
-shape, such as a telephone number without a country code behind the words that precede other telephone numbers.
+values that are trusted, a value by the patterns it occurs in. Rounds over that graph, until nothing moves, find values of
+a looser shape, such as a telephone number without a country code behind the words that precede other telephone numbers.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
+from ipaddress import AddressValueError, IPv6Address
 from itertools import accumulate
 
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerloom.llm.common import hot_join, map_rows, written
 
 KINDS = ("email", "ip", "card", "phone")
-ROUNDS = 3
+#: A round that moves no value's trust by more than this is the last.
+SETTLED = 1e-6
 #: A pattern needs so many distinct trusted values, and this share of all its values.
 PATTERN_SUPPORT = 3
 PATTERN_CONFIDENCE = 0.8
@@ -33,11 +36,12 @@ _NOT_DIGIT = re.compile(r"[^0-9]")
 #: Looser shapes, by kind, for values that only patterns may confirm.
 LOOSE = {
     "email": re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]++ ?(?:\(at\)|\[at\]) ?[A-Za-z0-9-]+(?:(?:\.| ?(?:\(dot\)|\[dot\]) ?)[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"(?<![\w:])(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4}(?![\w:])"),
+    "ip": re.compile(r"(?<![\w:])(?:(?:[0-9A-Fa-f]{1,4}:){5,7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*::)[0-9A-Fa-f:]{3,39})(?![\w:])"),
     "card": re.compile(r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-])"),
     "phone": re.compile(r"(?<![\w.+-])(?:\([0-9]{2,5}\)|[0-9]{2,5})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![\w.-])"),
 }
-_WORDS = re.compile(r"\S+")
+#: A longer context stands as its hash, so that very long words make no long rows.
+LONG_PATTERN = 200
 
 
 def luhn(digits: str) -> bool:
@@ -74,6 +78,13 @@ def base_spans(text: str | None) -> list[tuple[str, int, int]]:
     return spans
 
 
+def _compressed(text: str) -> bool:
+    try:
+        return bool(int(IPv6Address(text)))
+    except AddressValueError:
+        return False
+
+
 def loose_spans(text: str | None, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     """Matches of the looser shapes that touch no span found by shape, nor one of an earlier kind."""
     if not text:
@@ -84,6 +95,8 @@ def loose_spans(text: str | None, taken: list[tuple[str, int, int]]) -> list[tup
         ends = list(accumulate((e for _, e in blocked), max))  # the farthest end of any span up to here
         starts = [s for s, _ in blocked]
         for m in LOOSE[kind].finditer(text):
+            if "::" in m[0] and not _compressed(m[0]):
+                continue
             before = bisect_left(starts, m.end())
             if not before or ends[before - 1] <= m.start():
                 found.append((kind, *m.span()))
@@ -91,16 +104,33 @@ def loose_spans(text: str | None, taken: list[tuple[str, int, int]]) -> list[tup
     return found
 
 
-def patterns(text: str, start: int, end: int) -> list[str]:
-    """What stands around a value: the two words before it, and the word before with the word after."""
-    before = _WORDS.findall(text, max(0, start - 120), start)[-2:]
-    after = _WORDS.findall(text, end, end + 60)[:1]
-    plain = [re.sub(r"[0-9]", "0", w.lower()) for w in before]
+def _level(word: str) -> str:
+    return re.sub(r"[0-9]", "0", word.lower())
+
+
+def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[list[str]]:
+    """Per span what stands around it: the two words before it, and the word before with the word after.
+
+    Words are whole, in lower case with digits levelled. A neighbouring value stands as its kind and nothing beyond it is
+    looked at, so each part of a text is read a few times only, however many values it has.
+    """
+    by_end = sorted((e, k) for k, _, e in spans)
+    by_start = sorted((s, k) for k, s, _ in spans)
+    ends, starts = [e for e, _ in by_end], [s for s, _ in by_start]
     out = []
-    if len(plain) == 2:
-        out.append(" ".join(plain) + " _")
-    if plain and after:
-        out.append(plain[-1] + " _ " + re.sub(r"[0-9]", "0", after[0].lower()))
+    for _, start, end in spans:
+        i, j = bisect_right(ends, start), bisect_left(starts, end)
+        before = [_level(w) for w in text[ends[i - 1] if i else 0:start].rsplit(None, 2)[-2:]]
+        if i and len(before) < 2:
+            before = [f"<{by_end[i - 1][1]}>", *before]
+        after = [_level(w) for w in text[end:starts[j] if j < len(starts) else len(text)].split(None, 1)[:1]]
+        if not after and j < len(starts):
+            after = [f"<{by_start[j][1]}>"]
+        found = [" ".join(before) + " _"] if len(before) == 2 else []
+        if before and after:
+            found.append(f"{before[-1]} _ {after[0]}")
+        out.append([p if len(p) <= LONG_PATTERN else xxhash.xxh3_128_hexdigest(p.encode("utf-8", "surrogatepass"))
+                    for p in found])
     return out
 
 
@@ -123,23 +153,22 @@ def mentions(docs: DataFrame) -> DataFrame:
         base = base_spans(text)
         loose = loose_spans(text, base)
 
-        def mention(span):
-            k, s, e = span
-            return {"kind": k, "start": s, "stop": e, "value": value(k, text[s:e]), "patterns": patterns(text, s, e)}
-
+        found = [{"kind": k, "start": s, "stop": e, "value": value(k, text[s:e]), "patterns": around}
+                 for (k, s, e), around in zip(base + loose, contexts(text, base + loose))]
         yield {"doc_id": row["doc_id"], "text_hash": row["text_hash"],
-               "seeds": [mention(x) for x in base], "others": [mention(x) for x in loose]}
+               "seeds": found[:len(base)], "others": found[len(base):]}
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     found = map_rows(rows, each, f"doc_id bigint, text_hash bigint, seeds array<{_MENTION}>, others array<{_MENTION}>")
     return written(found.withColumn("row_id", F.monotonically_increasing_id()), "private-mentions")
 
 
-def trusted_values(found: DataFrame, rounds: int = ROUNDS, support: int = PATTERN_SUPPORT,
+def trusted_values(found: DataFrame, support: int = PATTERN_SUPPORT,
                    pattern_confidence: float = PATTERN_CONFIDENCE, value_confidence: float = VALUE_CONFIDENCE) -> DataFrame:
     """(kind, value, confidence) of values that patterns confirm, without the seeds.
 
-    The graph has one edge for each pattern and value of a kind, however often they occur, so copies count once.
+    The graph has one edge for each pattern and value of a kind, however often they occur, so copies count once. Trust
+    only grows from round to round and is 1 at most, so the rounds come to an end by themselves.
     """
     def edges(column: str, seed: bool) -> DataFrame:
         return (found.select(F.explode(column).alias("m")).select("m.kind", "m.value", F.explode("m.patterns").alias("pattern"))
@@ -149,7 +178,8 @@ def trusted_values(found: DataFrame, rounds: int = ROUNDS, support: int = PATTER
              .groupBy("kind", "pattern", "value").agg(F.max("seed").alias("seed")))
     # patterns that no seed ever had can't become trusted in the first round, yet in a later one: all edges stay
     graph = written(graph.withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(0.0)), "private-graph")
-    for _ in range(rounds):
+    moved = not found.where(F.size("others") > 0).isEmpty()
+    while moved:
         pattern = (graph.groupBy("kind", "pattern")
                    .agg(F.count("*").alias("n"), F.sum("trust").alias("sure"),
                         F.sum((F.col("trust") >= value_confidence).cast("int")).alias("k"))
@@ -158,9 +188,12 @@ def trusted_values(found: DataFrame, rounds: int = ROUNDS, support: int = PATTER
         value_trust = (hot_join(graph.where(~F.col("seed")), pattern, ["kind", "pattern"], "value")
                        .groupBy("kind", "value")
                        .agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("p"), F.lit(1e-6)))))).alias("new")))
-        scored = (graph.join(value_trust, ["kind", "value"], "left")
-                  .withColumn("trust", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("new", F.lit(0.0)))).drop("new"))
+        scored = (graph.drop("moved").join(value_trust, ["kind", "value"], "left")
+                  .withColumn("new", F.when(F.col("seed"), 1.0).otherwise(F.greatest("trust", F.coalesce("new", F.lit(0.0)))))
+                  .select("kind", "pattern", "value", "seed", F.col("new").alias("trust"),
+                          (F.col("new") - F.col("trust") > SETTLED).alias("moved")))
         graph = written(scored, "private-graph")
+        moved = not graph.where("moved").isEmpty()
     return (graph.where(~F.col("seed") & (F.col("trust") >= value_confidence))
             .groupBy("kind", "value").agg(F.max("trust").alias("confidence")))
 
