@@ -1,23 +1,27 @@
 """Content-addressed WARC archive.
 
-Payload bytes are kept once, under their SHA-256; the exact header block of every record is kept apart. The original
-record is header + payload + two line ends, put together by a join on the digest.
+Payload bytes are kept once, under an address that ends in their SHA-256; the exact header block of every record is kept
+apart. The original record is header + payload + two line ends, put together by a join on the address. Payloads are
+bucketed by it, so that join shuffles headers and leaves payloads where they are.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.common import written
+from ledgerloom.llm.common import skew_join, written
 from ledgerloom.session import work_dir
 
 END = "\r\n"
 #: Pages say nothing of when they were fetched; a record must have a date.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+#: Payload bytes that a bucket of the archive holds, about.
+BUCKET_BYTES = 128 << 20
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -29,17 +33,22 @@ def base32(hex_digest: Column) -> Column:
 
 @dataclass
 class Archive:
-    """Folders of the two tables: payloads (sha256, payload) and headers (page_id, sha256, header, ...)."""
+    """Table of payloads (address, sha256, payload), folder of headers (page_id, address, header)."""
 
     spark: SparkSession
-    payload_path: str
+    payload_table: str
     header_path: str
 
     def payloads(self) -> DataFrame:
-        return self.spark.read.schema("sha256 string, payload binary").parquet(self.payload_path)
+        return self.spark.table(self.payload_table)
 
     def headers(self) -> DataFrame:
-        return self.spark.read.schema("page_id bigint, sha256 string, header string").parquet(self.header_path)
+        return self.spark.read.schema("page_id bigint, address string, header string").parquet(self.header_path)
+
+
+def _address(page: str) -> Column:
+    """Where a payload is kept: the page that has it first, which spreads one payload's pages, and its digest."""
+    return F.concat(F.coalesce(F.col(page).cast("string"), F.lit("")), F.lit(":"), F.col("sha256"))
 
 
 def _header(first: Column, date: str) -> Column:
@@ -71,7 +80,8 @@ def write_archive(pages: DataFrame, folder: str | None = None, date: str = DATE)
     own; with equal payloads they are all the response. Rows without a page_id are records without a name and are
     always responses. All records bear the given date. An empty table gives two empty tables. Other columns of pages are not archived.
 
-    Only digests are grouped; payloads are shuffled once, to keep the row that each digest's smallest page has.
+    Only digests are grouped; payloads are shuffled once, into the buckets they are kept in. One task gets all rows
+    without a page_id that have the same payload.
     """
     spark = pages.sparkSession
     folder = folder or work_dir(spark, "warc")
@@ -79,48 +89,59 @@ def write_archive(pages: DataFrame, folder: str | None = None, date: str = DATE)
     rows = pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", payload.alias("payload"))
     rows = rows.withColumn("sha256", F.sha2("payload", 256))
     named = rows.select("page_id", "url", "sha256", base32(F.upper(F.sha1("payload"))).alias("sha1"),
-                        F.octet_length("payload").alias("bytes"))
+                        F.octet_length("payload").cast("bigint").alias("bytes"))
     named = written(named, "warc-digests")
     first = named.groupBy("sha256").agg(F.min("page_id").alias("first"))
-    # a payload may hold a large share of the pages: such a partition is split by Spark's skew-join handling, which
-    # costs nothing for the other digests
-    headers = named.join(first, "sha256")
+    headers = skew_join(named, first, ["sha256"], F.struct("page_id", "url"))
     # without a page_id the comparison is null, which makes the record a response
-    headers.select("page_id", "sha256", _header(F.coalesce("first", F.lit(0)), date).alias("header")).write.parquet(
-        f"{folder}/headers")
-    holder = F.coalesce(F.col("page_id").cast("string"), F.concat(F.lit("sha256:"), F.col("sha256")))
-    holders = first.select(F.coalesce(F.col("first").cast("string"), F.concat(F.lit("sha256:"), F.col("sha256")))
-                           .alias("holder"), "sha256")
-    stored = (rows.withColumn("holder", holder).join(holders, ["holder", "sha256"], "left_semi")
-              .dropDuplicates(["holder", "sha256"]).select("sha256", "payload"))
-    stored.write.parquet(f"{folder}/payloads")
-    return Archive(spark, f"{folder}/payloads", f"{folder}/headers")
+    headers.select("page_id", _address("first").alias("address"), _header(F.coalesce("first", F.lit(0)), date).alias("header")
+                   ).write.parquet(f"{folder}/headers")
+    total = named.agg(F.sum("bytes")).first()[0] or 0
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
+    n = min(most, max(spark.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES)))
+    holders = first.select(_address("first").alias("address")).repartition(n, "address")
+    stored = (rows.select(_address("page_id").alias("address"), "sha256", "payload").repartition(n, "address")
+              .join(holders, "address", "left_semi").dropDuplicates(["address"]))
+    name = f"warc_payloads_{uuid.uuid4().hex[:12]}"
+    (stored.write.bucketBy(n, "address").sortBy("address").option("path", f"{folder}/payloads").saveAsTable(name))
+    return Archive(spark, name, f"{folder}/headers")
 
 
 def read_records(archive: Archive) -> DataFrame:
     """One row per record: page_id, the exact record bytes, and what header and payload say.
 
-    Payloads are checked against the digest they are kept under before the join, once each; `verified` is false for a
-    payload that no longer has its digest. Columns that the caller doesn't select are not shuffled.
+    `verified`: the stored payload has the digest it is kept under, and the record put together from header and payload
+    has the stated length, a block (cut from it by Content-Length) with the stated digest, and the closing line ends. A
+    revisit has an empty block; its stated digest is that of the payload it refers to. Columns that the caller doesn't
+    select are not read, but for the payload of a response, which `verified` needs.
     """
     payload = archive.payloads().select(
-        "sha256", "payload", F.octet_length("payload").cast("bigint").alias("payload_bytes"),
+        "address", "payload", F.octet_length("payload").cast("bigint").alias("payload_bytes"),
         base32(F.upper(F.sha1("payload"))).alias("payload_digest"),
-        (F.sha2("payload", 256) == F.col("sha256")).alias("verified"))
-    header = archive.headers()
+        (F.sha2("payload", 256) == F.col("sha256")).alias("whole"))
 
     def value(name: str) -> Column:
         return F.regexp_extract("header", rf"\r\n{name}: ([^\r\n]*)\r\n", 1)
 
-    header = header.select(
-        "page_id", "sha256", "header", value("WARC-Type").alias("record_type"),
-        value("WARC-Payload-Digest").alias("stated"), value("Content-Length").cast("bigint").alias("block_bytes"),
+    header = archive.headers().select(
+        "page_id", "address", F.encode("header", "UTF-8").alias("head"), value("WARC-Type").alias("record_type"),
+        value("WARC-Payload-Digest").alias("stated"), value("Content-Length").cast("int").alias("block_bytes"),
         F.regexp_extract("header", r"\r\nWARC-Refers-To: <urn:page:(-?\d+)>", 1).alias("refers"))
-    joined = header.join(payload, "sha256")
-    block = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return joined.select(
-        "page_id", "payload_bytes", "payload_digest", "record_type",
-        F.when(F.col("refers") != "", F.col("refers").cast("bigint")).alias("refers_to"),
-        (F.col("verified") & (F.col("stated") == F.concat(F.lit("sha1:"), F.col("payload_digest")))).alias("verified"),
-        (F.octet_length(F.encode("header", "UTF-8")) + F.col("block_bytes") + 4).cast("bigint").alias("record_bytes"),
-        "payload", F.concat(F.encode("header", "UTF-8"), block, F.lit(b"\r\n\r\n")).alias("record"))
+    close = F.lit(b"\r\n\r\n")
+    responses = (header.where("record_type = 'response'").join(payload, "address")
+                 .withColumn("record", F.concat("head", "payload", close)))
+    at = F.octet_length("head") + 1
+    block = F.substring("record", at, F.col("block_bytes"))
+    responses = responses.withColumn("verified", (
+        F.col("whole") & (F.col("stated") == F.concat(F.lit("sha1:"), base32(F.upper(F.sha1(block)))))
+        & (F.octet_length("record") == at + F.col("block_bytes") + 3)
+        & (F.substring("record", at + F.col("block_bytes"), F.lit(4)) == close)))
+    # a payload that a large share of the pages has: its revisits are dealt over many tasks
+    revisits = (skew_join(header.where("record_type = 'revisit'"), payload, ["address"], "page_id")
+                .withColumn("record", F.concat("head", close))
+                .withColumn("verified", F.col("whole") & (F.col("block_bytes") == 0)
+                            & (F.col("stated") == F.concat(F.lit("sha1:"), F.col("payload_digest")))))
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type",
+               F.when(F.col("refers") != "", F.col("refers").cast("bigint")).alias("refers_to"), "verified",
+               F.octet_length("record").cast("bigint").alias("record_bytes"), "payload", "record"]
+    return responses.select(*columns).unionByName(revisits.select(*columns))

@@ -3,7 +3,7 @@ import hashlib
 
 from pyspark.sql import functions as F
 
-from ledgerloom.llm.archive import read_records, write_archive
+from ledgerloom.llm.archive import Archive, read_records, write_archive
 
 PAGES = [(3, "http://a/1", "<p>x</p>"), (1, "http://a/2", "<p>x</p>"), (2, None, None), (5, "http://b", ""), (4, "http://c\r\nX: y", "é" * 50_000),
          (4, "http://c", "other"), (None, "http://d", "<p>x</p>"), (None, "http://e", "alone"), (7, "http://f", "same"), (7, "http://f", "same")]
@@ -38,10 +38,30 @@ def test_records_come_back_byte_for_byte(spark):
 
 def test_a_damaged_payload_is_noticed(spark):
     archive = write_archive(spark.createDataFrame([(1, "u", "one"), (2, "u", "two")], "page_id bigint, url string, html string"))
-    path = archive.payload_path + "-damaged"
-    archive.payloads().withColumn("payload", F.when(F.col("payload") == F.lit(b"one"), F.lit(b"0ne")).otherwise(F.col("payload"))).write.parquet(path)
-    archive.payload_path = path
-    assert {r["page_id"]: r["verified"] for r in read_records(archive).collect()} == {1: False, 2: True}
+    damaged = archive.payloads().withColumn("payload", F.when(F.col("payload") == F.lit(b"one"), F.lit(b"0ne")).otherwise(F.col("payload")))
+    damaged.createOrReplaceTempView("damaged_payloads")
+    assert {r["page_id"]: r["verified"] for r in read_records(Archive(spark, "damaged_payloads", archive.header_path)).collect()} == {1: False, 2: True}
+
+
+def test_a_wrong_length_is_noticed(spark):
+    archive = write_archive(spark.createDataFrame([(1, "u", "one"), (2, "u", "two"), (3, "u", "two")], "page_id bigint, url string, html string"))
+    path = archive.header_path + "-damaged"
+    archive.headers().withColumn("header", F.when(F.col("page_id") == 1, F.replace("header", F.lit("Length: 3"), F.lit("Length: 2")))
+                                 .otherwise(F.col("header"))).write.parquet(path)
+    rows = read_records(Archive(spark, archive.payload_table, path)).select("page_id", "verified").collect()
+    assert {r["page_id"]: r["verified"] for r in rows} == {1: False, 2: True, 3: True}
+
+
+def test_payloads_stay_where_they_are(spark):
+    """The record join shuffles headers only: no exchange above the scan of payloads."""
+    archive = write_archive(spark.read.parquet("/root/testdata/sf0.001/pages.parquet"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        responses = read_records(archive).where("record_type = 'response'").select("page_id", "verified")
+        plan = responses._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in plan or "SelectedBucketsCount" in plan
 
 
 def test_no_pages(spark):
