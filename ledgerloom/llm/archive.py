@@ -2,7 +2,8 @@
 
 Payload bytes are kept once, under an address that ends in their SHA-256; the exact header block of every record is kept
 apart. The original record is header + payload + two line ends, put together by a join on the address. Payloads are
-bucketed by it, so that join shuffles headers and leaves payloads where they are.
+bucketed by it, so that join shuffles headers and leaves payloads where they are; spark.sql.shuffle.partitions says how many
+buckets.
 """
 
 from __future__ import annotations
@@ -20,8 +21,6 @@ END = "\r\n"
 #: Pages say nothing of when they were fetched; a record must have a date.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Payload bytes that a bucket of the archive holds, about.
-BUCKET_BYTES = 128 << 20
 _DIGITS, _BASE32 = "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
@@ -96,11 +95,10 @@ def write_archive(pages: DataFrame, folder: str | None = None, date: str = DATE)
     # without a page_id the comparison is null, which makes the record a response
     headers.select("page_id", _address("first").alias("address"), _header(F.coalesce("first", F.lit(0)), date).alias("header")
                    ).write.parquet(f"{folder}/headers")
-    total = named.agg(F.sum("bytes")).first()[0] or 0
-    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets", "100000"))
-    n = min(most, max(spark.sparkContext.defaultParallelism, -(-total // BUCKET_BYTES)))
-    holders = first.select(_address("first").alias("address")).repartition(n, "address")
-    stored = (rows.select(_address("page_id").alias("address"), "sha256", "payload").repartition(n, "address")
+    holders = first.select(_address("first").alias("address"))
+    # as many buckets as the join has partitions, so that its rows are written where they are
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stored = (rows.select(_address("page_id").alias("address"), "sha256", "payload")
               .join(holders, "address", "left_semi").dropDuplicates(["address"]))
     name = f"warc_payloads_{uuid.uuid4().hex[:12]}"
     (stored.write.bucketBy(n, "address").sortBy("address").option("path", f"{folder}/payloads").saveAsTable(name))
