@@ -23,7 +23,7 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|<[!?/][^>]*+>?"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>", re.S | re.I)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z0-9]+")
 
 # Element names and names of page parts.
@@ -37,62 +37,93 @@ NAMES = frozenset("ad ads advert adverts advertisement advertising sponsor spons
                   "navbar nav navigation breadcrumb breadcrumbs footer masthead cookie cookies consent notice popup modal "
                   "overlay share sharing social related recommended recommendations comment comments replies reply disqus "
                   "discussion newsletter subscribe login signup widget pagination pager skip".split())
+#: Words that may stand beside one of NAMES in a name without changing what it names.
+BESIDE = frozenset("area articles bar block body bottom box buttons column container content group icons inner item items left "
+                   "links list main outer panel posts primary right row secondary section site slot stories text thread "
+                   "title top unit wrap wrapper zone".split())
+HEADERS = frozenset("header site-header global-header top-header topbar".split())
 #: In an article, a block that neighbours share is deleted only if so much of it is link text.
 LINK_SHARE = 0.5
 
 
+#: What markup says of a block: content, doubtful (only a neighbour's equal block makes it go), part of the site.
+CONTENT, DOUBTFUL, PART = 0, 1, 2
+
+
 class Block:
-    __slots__ = ("inside", "linked", "text")
+    __slots__ = ("inside", "kept", "linked", "role", "text")
+
+    def __init__(self, text: str, role: int, inside: bool, linked: int):
+        self.text, self.role, self.inside, self.linked = text, role, inside, linked
+        self.kept = role != PART
+
+    def key(self) -> int:
+        """Hash of the text; a text in an article differs from the same one in a menu, which may name the article."""
+        return xxhash.xxh3_64_intdigest(self.text.encode("utf-8", "surrogatepass"),
+                                        int(self.inside and self.role != PART)) - (1 << 63)
 
-    def __init__(self, text: str, inside: bool, linked: int):
-        self.text, self.inside, self.linked = text, inside, linked
+    def open(self) -> bool:
+        """Whether differencing may delete the block."""
+        return not self.kept or self.role == DOUBTFUL or not self.inside or self.linked >= LINK_SHARE * len(self.text)
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
+def _named(name: str) -> int:
+    """What one class or id says: PART if it is made of NAMES and words beside them, DOUBTFUL if other words come in."""
+    words = _PART.findall(name)
+    if NAMES.isdisjoint(words):
+        return CONTENT
+    return PART if all(w in NAMES or w in BESIDE or w.isdigit() for w in words) else DOUBTFUL
+
+
+def _role(tag: str, attributes: str, inside: bool) -> int:
     if tag in DROPPED or (tag == "header" and not inside):
-        return True
+        return PART
+    found = CONTENT
     if not attributes or tag in ("body", "html", "article", "main"):
-        return False
+        return found
     for name, *values in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), "".join(values).lower()
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
-        if name == "role" and value in ROLES:
-            return True
-        if name in ("class", "id") and not NAMES.isdisjoint(_PART.findall(value)):
-            return True
-    return False
+        for value in "".join(values).lower().split():
+            if name.lower() == "role":
+                found = max(found, PART if value in ROLES else CONTENT)
+            else:
+                found = max(found, PART if not inside and value in HEADERS else _named(value))
+    return found
 
 
 def blocks(html: str | None) -> list[Block]:
-    """The blocks of text outside page parts that aren't content, in page order."""
+    """All blocks of text in page order, with what markup says of them; kept tells those that markup leaves.
+
+    Text of a page part inside a block of content, such as an advert in a paragraph, is a block of its own after it.
+    """
     if not html:
         return []
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, dropped, in an article, in a link
-    parts: list[tuple[str, bool]] = []
-    state = (False, False, False)
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, role, in an article, in a link
+    parts: list[tuple[str, int, bool]] = []
+    aside: list[tuple[str, int, bool]] = []
+    state = (CONTENT, False, False)
 
     def flush() -> None:
-        if parts:
-            text = " ".join(markup.unescape("".join(p for p, _ in parts)).split())
-            if text:
-                linked = sum(len(" ".join(markup.unescape(p).split())) for p, link in parts if link)
-                out.append(Block(text, state[1], linked))
-            parts.clear()
+        for found in (parts, aside):
+            if found:
+                text = " ".join(markup.unescape("".join(p for p, _, _ in found)).split())
+                if text:
+                    linked = sum(len(" ".join(markup.unescape(p).split())) for p, _, link in found if link)
+                    out.append(Block(text, min(role for p, role, _ in found if not p.isspace()), state[1], linked))
+                found.clear()
 
-    def text_to(end: int, start: int) -> None:
-        if end > start and not state[0]:
-            parts.append((html[start:end], state[2]))
+    def add(text: str) -> None:
+        (aside if state[0] == PART else parts).append((text, state[0], state[2]))
 
     def pop_to(i: int) -> None:
         nonlocal state
         del stack[i:]
-        state = stack[-1][1:] if stack else (False, False, False)
+        state = stack[-1][1:] if stack else (CONTENT, False, False)
 
     done = 0
     for m in _TOKEN.finditer(html):
-        text_to(m.start(), done)
+        if m.start() > done:
+            add(html[done:m.start()])
         done = m.end()
         tag = m[3] or m[6]
         if m[1]:
@@ -103,7 +134,7 @@ def blocks(html: str | None) -> list[Block]:
             continue
         tag, closing, attributes = tag.lower(), m[2] or m[5], m[4] or m[7] or ""
         if tag == "br":
-            parts.append((" ", state[2]))
+            add(" ")
             continue
         if tag in BLOCKS:
             flush()
@@ -125,14 +156,17 @@ def blocks(html: str | None) -> list[Block]:
                     break
                 if name in BLOCKS:
                     break
-        dropped, inside, linked = state
+        role, inside, linked = state
         inside = inside or tag in ("article", "main") or bool(attributes) and 'role="main"' in attributes.lower()
-        state = (dropped or _unwanted(tag, attributes, inside), inside, linked or tag == "a")
+        state = (max(role, _role(tag, attributes, inside)), inside, linked or tag == "a")
         stack.append((tag, *state))
-    text_to(len(html), done)
+    if len(html) > done:
+        add(html[done:])
     flush()
-    articles = [b for b in out if b.inside]
-    return articles or out
+    if any(b.kept and b.inside for b in out):
+        for b in out:
+            b.kept = b.kept and b.inside
+    return out
 
 
 def common_lines(a: list, b: list) -> list[tuple[int, int]]:
@@ -196,15 +230,14 @@ class _Pending:
 _FIRST, _LAST = 1, 2
 _PAGE = "host string, same bigint, lines array<bigint>, open array<int>"
 _GONE = "host string, same bigint, gone array<int>"
-_RESULT = "page_id bigint, url string, text string, n_chars bigint, n_deleted bigint"
+_RESULT = "page_id bigint, url string, text string, n_chars bigint, n_deleted bigint, n_by_markup bigint"
 
 
 def _lines(row: dict) -> Iterator[dict]:
     """A page as hashes of its blocks and the indexes of those that may be deleted."""
     parts = blocks(row["html"])
     yield {**{k: row[k] for k in ("id", "key", "host", "path", "same")},
-           "lines": [xxhash.xxh3_64_intdigest(b.text.encode("utf-8", "surrogatepass")) - (1 << 63) for b in parts],
-           "open": [i for i, b in enumerate(parts) if not b.inside or b.linked >= LINK_SHARE * len(b.text)]}
+           "lines": [b.key() for b in parts], "open": [i for i, b in enumerate(parts) if b.open()]}
 
 
 def _compared(a: dict, b: dict) -> list[tuple[int, int]]:
@@ -282,13 +315,15 @@ def shared_blocks(pages: DataFrame) -> DataFrame:
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars, n_deleted for every row of pages (page_id, url, html).
+    """page_id, url, text, n_chars, n_deleted, n_by_markup for every row of pages (page_id, url, html).
 
-    Blocks in page order, joined by line feeds; white space in a block becomes single blanks. If a page marks an article
-    (or main part), only that is read. Of the blocks outside menus, headers, footers, adverts and the like, those that
-    a neighbour on the same host has too are deleted; inside a marked article only if they are mostly links, since an
-    article may quote another. Pages of a host with equal html are compared once, at the first of their addresses, with the
-    nearest different pages, and have equal texts: a copy doesn't count as a neighbour. Pages without blocks do.
+    Blocks in page order, joined by line feeds; white space in a block becomes single blanks. All blocks of a page, menus
+    and footers too, are compared with those of its neighbours on the same host, and those that a neighbour has too are
+    deleted (n_deleted): everywhere outside a marked article (or main part); inside it those that are mostly links or in an
+    element whose name may or may not be that of a page part, since an article may quote another. Of the rest, markup takes
+    out menus, headers, footers, adverts and the like, and what is outside the article if one is marked (n_by_markup). Pages
+    of a host with equal html are compared once, at the first of their addresses, with the nearest different pages, and have
+    equal texts: a copy doesn't count as a neighbour. Pages without blocks do.
 
     A null or empty html has an empty text. A null url or one without a host has no neighbours. Repeated rows give
     repeated results and other columns are ignored; an empty table gives no rows. Pages are dealt by ranges of host and
@@ -306,8 +341,9 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
 
     def each(row):
         parts, out = blocks(row["html"]), set(row["gone"] or ())
-        text = "\n".join(b.text for i, b in enumerate(parts) if i not in out)
-        yield {"page_id": row["page_id"], "url": row["url"], "text": text, "n_chars": len(text), "n_deleted": len(out)}
+        text = "\n".join(b.text for i, b in enumerate(parts) if b.kept and i not in out)
+        yield {"page_id": row["page_id"], "url": row["url"], "text": text, "n_chars": len(text), "n_deleted": len(out),
+               "n_by_markup": sum(not b.kept and i not in out for i, b in enumerate(parts))}
 
     joined = hot_join(rows, gone, ["host", "same"], F.struct("id", "key"), "left")
     return map_rows(joined.select("page_id", "url", "html", "gone"), each, _RESULT)
