@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom import fixed
 from ledgerloom.functions import dates, language, scores, text
-from ledgerloom.operators import analytics, duplicates, export, extract, languages, pages, phrases, search, upsert, validate, views
+from ledgerloom.operators import analytics, duplicates, entities, export, extract, languages, pages, phrases, search, upsert, validate, views
 from ledgerloom.plans import jobs
 from ledgerloom.session import inline_table, stage, stage_path, work_dir
 from ledgerloom.sources import ledger, recognised, requests
@@ -222,6 +222,20 @@ for _name, _columns in {
     _QUERIES[_name] = _extracted(*_columns)
 
 
+@query
+def extract_parties_by_entities(spark, folder):
+    """Parties of texts whose party labels are taken out, by the names of all suppliers and customers."""
+    def named(name: str, word: str, key: str) -> DataFrame:
+        rows = table(spark, folder, name)
+        return rows.select(F.concat_ws(" ", F.lit(word), F.col(key)).alias("name"), F.lit("ORG").alias("label"))
+
+    names = named("supplier", "vendor", "s_suppkey").unionByName(named("customer", "buyer", "c_custkey"))
+    plain = F.regexp_replace("text", r"(?m)^(From|Bill To): ", "")
+    docs = invoice_text(spark, folder).select("doc_id", plain.alias("text"))
+    return extract.extract_columns(entities.find_known_names(docs, names)).select(
+        "doc_id", "vendor_name", "buyer_name", "score_vendor_name", "score_buyer_name")
+
+
 @query
 def extract_fields(spark, folder):
     fields = extract.extract_fields(invoice_text(spark, folder))

@@ -717,6 +717,15 @@ FROM (SELECT doc_id, {_ALL_MATCH} AS a FROM lined)"""),
         "extract_tax": _extract("tax_amount", "tax_rate", "score_tax_amount"),
         "extract_discount": _extract("discount"),
         "extract_parties": _extract("vendor_name", "buyer_name", "score_vendor_name", "score_buyer_name"),
+        "extract_parties_by_entities": _with(FACTS + """,
+named AS (
+  SELECT key + 1 AS doc_id, list_concat(CASE WHEN v.s_suppkey IS NOT NULL THEN [vendor_name] ELSE []::VARCHAR[] END,
+    CASE WHEN b.c_custkey IS NOT NULL THEN [buyer_name] ELSE []::VARCHAR[] END) AS names
+  FROM facts LEFT JOIN supplier v ON vendor_name = 'vendor ' || v.s_suppkey
+    LEFT JOIN customer b ON buyer_name = 'buyer ' || b.c_custkey)""",
+            f"""SELECT doc_id, coalesce(names[1], '') AS vendor_name, coalesce(names[2], '') AS buyer_name,
+  CASE WHEN len(names) > 0 THEN {fixed.CONF_MEDIUM} ELSE {fixed.CONF_LOW} END::DOUBLE AS score_vendor_name,
+  CASE WHEN len(names) > 1 THEN {fixed.CONF_MEDIUM} ELSE {fixed.CONF_LOW} END::DOUBLE AS score_buyer_name FROM named"""),
         "extract_tax_id": _extract("tax_id", "score_tax_id"),
         "extract_po_number": _extract("po_number", "score_po_number"),
         "extract_address": _extract("address", "score_address"),
