@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerloom.session import salted_join
 
+#: Bits of the filter of names: 4 MB; a full one costs shuffle, never a result.
+_FILTER_BITS = 1 << 25
 _WORDS = r"[\p{L}\p{M}\p{N}]+|\n"
 
 
@@ -25,13 +27,35 @@ def known_names(names: DataFrame) -> DataFrame:
     return best.select("gram", "n", "best.text", "best.label")
 
 
+def _places(gram: Column) -> list[Column]:
+    """Two places of a name among the bits of the filter."""
+    return [F.pmod(F.xxhash64(gram, F.lit(i)), F.lit(_FILTER_BITS)) for i in range(2)]
+
+
+def _bits(known: DataFrame) -> Column:
+    """A Bloom filter of the names: array of 64-bit words, of one size however many names there are."""
+    at = known.select(F.explode(F.array(*_places(F.col("gram")))).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("at") % 64).cast("int"))
+    words = at.groupBy(F.floor(F.col("at") / 64).alias("word")).agg(F.bit_or(bit).alias("bits"))
+    every = known.sparkSession.range(_FILTER_BITS // 64).join(words, F.col("id") == F.col("word"), "left")
+    held = every.agg(F.sort_array(F.collect_list(F.struct("id", F.coalesce("bits", F.lit(0)).alias("bits")))).alias("held"))
+    return held.select(F.col("held.bits")).scalar()
+
+
+def _may_be_known(gram: str, bits: str) -> Column:
+    """False only for a gram that is no name."""
+    tests = [F.call_function("getbit", F.get(F.col(bits), F.floor(at / 64).cast("int")), (at % 64).cast("int")) == 1
+             for at in _places(F.col(gram))]
+    return tests[0] & tests[1]
+
+
 def find_known_names(docs: DataFrame, names: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with entities: array<struct<text,label,pos>>, the known names in each text; an empty array where none is.
 
     names has name and label. A name is found where its words stand in order on one line, whatever their case and the
     signs between them; pos counts words from 0. A name inside a longer name found there is left out. doc_id must be
     unique and not NULL. Only windows of lengths that names have are made; their number of lengths is small even
-    where names are many. Names are salted, since one name may stand in a large share of the texts.
+    where names are many, and a filter of fixed size drops nearly all that are no names before the join. Names are salted, since one name may stand in a large share of the texts.
     """
     known = known_names(names)
     # one number per length of a name
@@ -41,6 +65,7 @@ def find_known_names(docs: DataFrame, names: DataFrame, text: str = "text", doc_
     grams = F.transform(starts, lambda at: F.struct(
         at.alias("at"), F.array_join(F.slice("_w", at + 1, F.col("_n")), " ").alias("gram")))
     windows = rows.select("_id", F.inline(grams)).where(~F.contains("gram", F.lit("\n")))
+    windows = windows.withColumn("_bits", _bits(known)).where(_may_be_known("gram", "_bits")).drop("_bits")
     hits = salted_join(windows, known, ["gram"], F.struct("_id", "at"), "inner")
     # of hits that start together the longest comes first; one that ends inside what came before lies in another name
     before = (Window.partitionBy("_id").orderBy("at", F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
