@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom import fixed
-from ledgerloom.functions.text import quick_pattern
+from ledgerloom.functions.text import all_matches, quick_pattern
 from ledgerloom.plans import catalog
 from test_catalog import FOLDER, plan_of
 
@@ -30,6 +30,9 @@ def test_quick_patterns_find_the_same(spark):
         else:
             plain, new = F.regexp_extract("text", pattern, 1), F.regexp_extract("text", quick, 1)
         assert rows.where(~plain.eqNullSafe(new)).collect() == [], pattern
+    for pattern in [*fixed.CURRENCY_PATTERNS, *fixed.DUE_PATTERNS, *fixed.VENDOR_PATTERNS, *fixed.TAX_RATE_PATTERNS]:
+        plain = F.array_distinct(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda hit: F.trim(hit)))
+        assert rows.where(~plain.eqNullSafe(all_matches(F.col("text"), [pattern]))).collect() == [], pattern
 
 
 @pytest.mark.parametrize("name", ["quarantine", "batch_summary"])
@@ -53,3 +56,32 @@ def test_both_exports_read_the_records_once(spark):
         catalog.export.export = write
     plan = plan_of(seen[0])
     assert "/records-" in plan and "lineitem" not in plan
+
+
+def test_windows_that_are_no_names_are_not_joined(spark):
+    """The filter drops windows by their hash; every name passes."""
+    from ledgerloom.operators import entities
+
+    known = entities.known_names(spark.createDataFrame([(f"Mill {i}", "ORG") for i in range(300)], "name string, label string"))
+    grams = spark.range(6000).select(F.concat(F.lit("mill "), "id").alias("gram")).withColumn("bits", entities._bits(known))
+    passed = {r["gram"] for r in grams.where(entities._may_be_known("gram", "bits")).collect()}
+    assert {f"mill {i}" for i in range(300)} <= passed and len(passed) < 350
+
+
+def test_search_pairs_without_the_other_words_are_dropped(spark):
+    """Only documents with both words of a request get past the first step, whose pairs are written."""
+    from ledgerloom.operators import search
+
+    docs = spark.createDataFrame([(i, f"{'Lantern' if i % 50 == 0 else 'Kite'} {i % 3 + 70}", "", "", "") for i in range(300)],
+                                 "id bigint, vendor_name string, buyer_name string, invoice_number string, raw_text string")
+    queries = spark.createDataFrame([(1, "70 lantern", None), (2, "lantern", "72"), (3, "73 lantern", None)],
+                                    "query_id bigint, q string, vendor string")
+    written, keep = {}, search.stage
+    search.stage = lambda df, name, **layout: written.setdefault(name, keep(df, name, **layout))
+    try:
+        found = search.match(queries, search.build_postings(docs))
+    finally:
+        search.stage = keep
+    assert sorted(r["doc_id"] for r in found.select("query_id", "doc_id").distinct().where("query_id = 1").collect()) == [0, 150]
+    assert {r["query_id"] for r in found.collect()} == {1, 2}
+    assert written["pairs"].where("query_id = 1").count() <= 6 and written["asked"].count() < 600
