@@ -85,3 +85,35 @@ def test_search_pairs_without_the_other_words_are_dropped(spark):
     assert sorted(r["doc_id"] for r in found.select("query_id", "doc_id").distinct().where("query_id = 1").collect()) == [0, 150]
     assert {r["query_id"] for r in found.collect()} == {1, 2}
     assert written["pairs"].where("query_id = 1").count() <= 6 and written["asked"].count() < 600
+
+
+def test_scripts_are_counted_in_what_is_left(spark):
+    """Counts and first places come from the text without the characters below the scripts, not from the whole text."""
+    from ledgerloom.functions.language import with_script
+
+    docs = spark.createDataFrame([(1, "x" * 500 + " абвгде عربيتن"), (2, "é عربيتن абвгде"), (3, "абвгд" + "€" * 50), (4, "नीलकमल"), (5, None)],
+                                 "i bigint, text string")
+    rows = with_script(docs, "text", "script")
+    assert [r["script"] for r in rows.orderBy("i").collect()] == ["ru", "ar", "", "hi", ""]
+    plan = plan_of(rows)
+    assert "regexp_extract_all(" not in plan and "regexp_instr(text" not in plan
+
+
+def test_function_words_stand_between_characters_of_no_token(spark):
+    """Tokens that cannot be function words are not taken; the rest count as whole tokens, whatever stands beside them."""
+    from ledgerloom.functions.language import with_profile
+
+    draw = random.Random(4)
+    words = sorted({w for words in fixed.LANGUAGE_WORDS.values() for w in words})
+    beside = [" ", ".", "\n", "_", "1", "٣", "²", "\u0308", "\u00a0", "—", "।", "€", "a", "é", "İ", "\u212a", "\U00010400", "\U0001F600", "\x00"]
+    texts = [None, "", "DER", *["".join(draw.choice([str.upper, str])(draw.choice(words)) + draw.choice(beside)
+                                        for _ in range(draw.randint(1, 25))) for _ in range(1500)]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i bigint, text string")
+    lists = ", ".join(f"size(filter(t, w -> w IN ({', '.join(repr(w) for w in ws)})))" for ws in fixed.LANGUAGE_WORDS.values())
+    tokens = F.regexp_extract_all(F.lower("text"), F.lit(fixed.TOKEN), F.lit(0))
+    plain = rows.withColumn("t", tokens).withColumn("n", F.expr(f"array({lists})"))
+    plain = plain.select("*", F.array_max("n").alias("hits"), (1 - F.array_position("n", F.array_max("n"))).alias("rank"))
+    got = with_profile(plain, "text", "best")
+    assert got.where("text IS NOT NULL AND (best.hits <> hits OR best.rank <> rank)").collect() == []
+    assert got.where("hits > 0").select("rank").distinct().count() == len(fixed.LANGUAGE_WORDS)
+    assert fixed.TOKEN not in plan_of(with_profile(rows, "text", "best"))
