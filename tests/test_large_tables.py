@@ -117,3 +117,13 @@ def test_function_words_stand_between_characters_of_no_token(spark):
     assert got.where("text IS NOT NULL AND (best.hits <> hits OR best.rank <> rank)").collect() == []
     assert got.where("hits > 0").select("rank").distinct().count() == len(fixed.LANGUAGE_WORDS)
     assert fixed.TOKEN not in plan_of(with_profile(rows, "text", "best"))
+
+
+def test_first_match_searches_a_text_once(spark):
+    from ledgerloom.functions.text import first_match
+
+    rows = spark.createDataFrame([("Terms: net 30.",), ("term",), ("terms: ",), ("",), (None,)], "text string")
+    found = rows.select(first_match(F.col("text"), fixed.TERMS_PATTERNS[:1], F.lower("text")).alias("hit"))
+    assert [r["hit"] for r in found.collect()] == ["net 30", "", "", "", ""]
+    physical = plan_of(found).split("(1) ")[0] + found._jdf.queryExecution().executedPlan().toString()
+    assert physical.count("regexp_extract(") == 1
