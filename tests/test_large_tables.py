@@ -127,3 +127,22 @@ def test_first_match_searches_a_text_once(spark):
     assert [r["hit"] for r in found.collect()] == ["net 30", "", "", "", ""]
     physical = plan_of(found).split("(1) ")[0] + found._jdf.queryExecution().executedPlan().toString()
     assert physical.count("regexp_extract(") == 1
+
+
+def test_postings_take_words_from_texts_once(spark):
+    """Words are counted where they stand; terms of several words and rows without a doc_id of their own meet."""
+    from collections import Counter
+
+    from ledgerloom.operators.search import build_postings
+
+    stems = {"walking": "walk", "walks": "walk", "cities": "citi"}
+    texts = [(1, "walk Walking walks tree"), (1, "tree tree the x walk 17"), (1, "tree"), (2, "cities citi 17 17 é١"), (3, ""), (4, None),
+             (None, "tree a"), (None, "tree"), (5, "the x")]
+    rows = spark.createDataFrame(texts, "id bigint, raw_text string")
+    want = Counter()
+    for i, text in texts:
+        words = [w for w in (text or "").lower().split() if len(w) > 1 and w != "the"]
+        want.update(("raw_text", stems.get(w, w), i, len(words)) for w in words)
+    built = build_postings(rows, ["raw_text"])
+    assert {(r["field"], r["term"], r["doc_id"], r["len"]): r["tf"] for r in built.collect()} == want and built.count() == len(want)
+    assert "regexp_extract_all" not in plan_of(built)
