@@ -146,3 +146,11 @@ def test_postings_take_words_from_texts_once(spark):
     built = build_postings(rows, ["raw_text"])
     assert {(r["field"], r["term"], r["doc_id"], r["len"]): r["tf"] for r in built.collect()} == want and built.count() == len(want)
     assert "regexp_extract_all" not in plan_of(built)
+
+
+def test_all_matches_test_the_first_letter(spark):
+    """A sign between two hits belongs to the first of them; the start of a text is an edge."""
+    rows = spark.createDataFrame([("USD EUR;GBP,,INR USD",), ("xUSD",), ("due date 2024-01-02due date 2024-01-03 pay by 2024-01-04",)], "text string")
+    found = rows.select(all_matches(F.col("text"), [fixed.CURRENCY_PATTERNS[0], *fixed.DUE_PATTERNS]).alias("hits"))
+    assert [r["hits"] for r in found.collect()] == [["USD", "GBP", "INR"], [], ["2024-01-02", "2024-01-04"]]
+    assert plan_of(found).count(r"(?!\G)") >= 2
