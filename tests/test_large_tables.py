@@ -154,3 +154,16 @@ def test_all_matches_test_the_first_letter(spark):
     found = rows.select(all_matches(F.col("text"), [fixed.CURRENCY_PATTERNS[0], *fixed.DUE_PATTERNS]).alias("hits"))
     assert [r["hits"] for r in found.collect()] == [["USD", "GBP", "INR"], [], ["2024-01-02", "2024-01-04"]]
     assert plan_of(found).count(r"(?!\G)") >= 2
+
+
+def test_exports_of_both_are_compressed(spark):
+    import os
+
+    seen, write = [], catalog.export.export
+    catalog.export.export = lambda *given: (seen.append(write(*given)), seen[-1])[1]
+    try:
+        got = catalog.all_queries()["export_both"](spark, FOLDER).collect()
+    finally:
+        catalog.export.export = write
+    parts = [f for path in seen[0].values() for f in os.listdir(path) if f.startswith("part-")]
+    assert parts and all(f.endswith(".gz") for f in parts) and len({(r["n"], r["ids"]) for r in got}) == 1
