@@ -135,9 +135,9 @@ def test_postings_take_words_from_texts_once(spark):
 
     from ledgerloom.operators.search import build_postings
 
-    stems = {"walking": "walk", "walks": "walk", "cities": "citi"}
+    stems = {"walking": "walk", "walks": "walk", "cities": "citi", "exceeding": "exceed", "exceed": "exce"}
     texts = [(1, "walk Walking walks tree"), (1, "tree tree the x walk 17"), (1, "tree"), (2, "cities citi 17 17 é١"), (3, ""), (4, None),
-             (None, "tree a"), (None, "tree"), (5, "the x")]
+             (None, "tree a"), (None, "tree"), (5, "the x"), (6, "exceeding exceed exceed")]
     rows = spark.createDataFrame(texts, "id bigint, raw_text string")
     want = Counter()
     for i, text in texts:
